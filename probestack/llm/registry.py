@@ -1,10 +1,12 @@
 """Queries of this folder, and their SQL where SQL can express them."""
 
+from probestack.llm.langid import op1_language_id
 from probestack.llm.mixing import OP9_SQL, op9_mixing
 from probestack.llm.near_dedup import op8_near_dedup
 from probestack.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op8_near_dedup": op8_near_dedup,
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
