@@ -1,5 +1,6 @@
 """Queries of this folder, and their SQL where SQL can express them."""
 
+from probestack.llm.decontaminate import OP2_SQL, op2_decontaminate
 from probestack.llm.langid import op1_language_id
 from probestack.llm.mixing import OP9_SQL, op9_mixing
 from probestack.llm.near_dedup import op8_near_dedup
@@ -7,12 +8,14 @@ from probestack.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_decontaminate": op2_decontaminate,
     "op8_near_dedup": op8_near_dedup,
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_decontaminate": OP2_SQL,
     "op9_mixing": OP9_SQL,
     "op10_warc": OP10_SQL,
 }
