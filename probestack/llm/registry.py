@@ -1,6 +1,7 @@
 """Queries of this folder, and their SQL where SQL can express them."""
 
 from probestack.llm.decontaminate import OP2_SQL, op2_decontaminate
+from probestack.llm.extract import op3_extract
 from probestack.llm.langid import op1_language_id
 from probestack.llm.mixing import OP9_SQL, op9_mixing
 from probestack.llm.near_dedup import op8_near_dedup
@@ -9,6 +10,7 @@ from probestack.llm.warc import OP10_SQL, op10_warc
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontaminate": op2_decontaminate,
+    "op3_extract": op3_extract,
     "op8_near_dedup": op8_near_dedup,
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one slice holds at most, unless a single text is longer.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 U = np.uint64
 
 
