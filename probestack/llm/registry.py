@@ -1,6 +1,7 @@
 """Queries of this folder, and their SQL where SQL can express them."""
 
 from probestack.llm.decontaminate import OP2_SQL, op2_decontaminate
+from probestack.llm.embed_dedup import OP4_SQL, op4_embed_dedup
 from probestack.llm.extract import op3_extract
 from probestack.llm.langid import op1_language_id
 from probestack.llm.mixing import OP9_SQL, op9_mixing
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_decontaminate": op2_decontaminate,
     "op3_extract": op3_extract,
+    "op4_embed_dedup": op4_embed_dedup,
     "op8_near_dedup": op8_near_dedup,
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
@@ -18,6 +20,7 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
+    "op4_embed_dedup": OP4_SQL,
     "op9_mixing": OP9_SQL,
     "op10_warc": OP10_SQL,
 }

@@ -123,3 +123,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def _flat(edges: DataFrame) -> bool:
     """Whether no id points at an id that points on: with one parent each, the edges are stars."""
     return edges.select("b").distinct().join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
+
+
+def small_side(df: DataFrame, most_rows: int) -> DataFrame:
+    """df marked for broadcast if it has most_rows rows at most, else as it is."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
