@@ -4,6 +4,7 @@ from probestack.llm.decontaminate import OP2_SQL, op2_decontaminate
 from probestack.llm.embed_dedup import OP4_SQL, op4_embed_dedup
 from probestack.llm.extract import op3_extract
 from probestack.llm.langid import op1_language_id
+from probestack.llm.licenses import op5_licenses
 from probestack.llm.mixing import OP9_SQL, op9_mixing
 from probestack.llm.near_dedup import op8_near_dedup
 from probestack.llm.warc import OP10_SQL, op10_warc
@@ -13,6 +14,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_extract": op3_extract,
     "op4_embed_dedup": op4_embed_dedup,
+    "op5_licenses": op5_licenses,
     "op8_near_dedup": op8_near_dedup,
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
