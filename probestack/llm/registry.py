@@ -5,6 +5,7 @@ from probestack.llm.embed_dedup import OP4_SQL, op4_embed_dedup
 from probestack.llm.extract import op3_extract
 from probestack.llm.langid import op1_language_id
 from probestack.llm.licenses import op5_licenses
+from probestack.llm.lm_score import op6_lm_score
 from probestack.llm.mixing import OP9_SQL, op9_mixing
 from probestack.llm.near_dedup import op8_near_dedup
 from probestack.llm.warc import OP10_SQL, op10_warc
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_extract": op3_extract,
     "op4_embed_dedup": op4_embed_dedup,
     "op5_licenses": op5_licenses,
+    "op6_lm_score": op6_lm_score,
     "op8_near_dedup": op8_near_dedup,
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
