@@ -7,7 +7,7 @@ score; a gram or word unknown in one language gets that table's floor there. A t
 language is the sum over its words; `score` is the posterior of the best language under equal priors,
 tempered for the number of words so that short texts stay uncertain.
 
-Words are runs of letters (digits, punctuation and white space split them), lower-cased. A text with
+Words are runs of letters (digits, punctuation and white space split them), lower-cased and composed. A text with
 words of no known gram falls back to the language with most training words.
 
 The model is fitted on a bounded sample of labelled rows: the SAMPLE rows of smallest hash of doc_id
@@ -22,12 +22,13 @@ language in code-point order.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,13 +41,20 @@ MAX_GRAM = 5
 UNKNOWN = "und"
 #: A word counts as at most so much evidence (nats) for one language against another.
 MOST_PER_WORD = 8.0
-_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+_WORD = re.compile(r"[^\W\d_]+")
 #: Words remembered per worker, so that memory stays bounded.
 CACHE = 200_000
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Lower-cased runs of letters, composed (NFC); none if no character is a letter."""
+    if not text:
+        return []
+    low = text.lower()
+    if not unicodedata.is_normalized("NFC", low):
+        low = unicodedata.normalize("NFC", low)
+    words = _WORD.findall(low)
+    return words if any(c.isalpha() for w in words for c in w) else []
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -71,7 +79,7 @@ def _tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Model:
-    """Log-frequency tables: per size (0: words) item -> array of log frequencies by language."""
+    """Log-frequency tables: per size (0: words) item -> row of log frequencies by language."""
 
     def __init__(self, counts: pd.DataFrame, totals: pd.DataFrame):
         words = totals[totals["size"] == 0].sort_values("lang")
@@ -80,52 +88,85 @@ class Model:
         total = np.zeros((MAX_GRAM + 1, max(len(self.langs), 1)))
         for lang, size, n in totals[["lang", "size", "n"]].itertuples(index=False):
             total[size, at[lang]] = n
-        self.floor = [np.log(0.5) - np.log(total[s] + 1.0) for s in range(MAX_GRAM + 1)]
+        floor = np.log(0.5) - np.log(total + 1.0)
         self.default = int(np.argmax(total[0])) if self.langs else -1
-        self.tables: list[dict[str, np.ndarray]] = [{} for _ in range(MAX_GRAM + 1)]
+        self.tables: list[dict[str, int]] = [{} for _ in range(MAX_GRAM + 1)]
+        rows: list[np.ndarray] = []
         for lang, size, item, n in counts[["lang", "size", "item", "n"]].itertuples(index=False):
-            row = self.tables[size].setdefault(item, self.floor[size].copy())
-            row[at[lang]] = np.log(n) - np.log(total[size, at[lang]] + 1.0)
-
-    def word(self, word: str) -> np.ndarray:
-        known = self.tables[0].get(word)
-        if known is None:
-            marked = f"\x02{word}\x03"
-            parts = []
-            for i in range(len(marked)):
-                for size in range(min(MAX_GRAM, len(marked) - i), 0, -1):
-                    if (row := self.tables[size].get(marked[i : i + size])) is not None:
-                        parts.append(row)
-                        break
-            if not parts:
-                return np.zeros(len(self.langs))
-            known = np.mean(parts, axis=0)
-        return np.maximum(known, known.max() - MOST_PER_WORD)
-
-    def predict(self, texts: list[str | None], cache: dict[str, np.ndarray]) -> tuple[list[str], list[float]]:
+            if (row := self.tables[size].get(item)) is None:
+                row = self.tables[size][item] = len(rows)
+                rows.append(floor[size].copy())
+            rows[row][at[lang]] = np.log(n) - np.log(total[size, at[lang]] + 1.0)
+        self.rows = np.array(rows).reshape(len(rows), max(len(self.langs), 1))
+
+    def cover(self, word: str) -> list[int]:
+        """Rows that score a word: its own, or those of the longest known gram at each place."""
+        own = self.tables[0].get(word)
+        if own is not None:
+            return [own]
+        marked, found = f"\x02{word}\x03", []
+        tables = self.tables
+        for i in range(len(marked)):
+            for size in range(min(MAX_GRAM, len(marked) - i), 0, -1):
+                if (row := tables[size].get(marked[i : i + size])) is not None:
+                    found.append(row)
+                    break
+        return found
+
+    def score_words(self, words: list[str]) -> np.ndarray:
+        """A row of log frequencies for each word, at most MOST_PER_WORD below its best; zeros if nothing covers it."""
+        covers = [self.cover(w) for w in words]
+        sizes = np.array([len(c) for c in covers])
+        out = np.zeros((len(words), self.rows.shape[1]))
+        some = sizes > 0
+        if some.any():
+            flat = self.rows[np.fromiter((r for c in covers for r in c), np.int64, sizes.sum())]
+            starts = (np.cumsum(sizes) - sizes)[some]
+            mean = np.add.reduceat(flat, starts, axis=0) / sizes[some, None]
+            out[some] = np.maximum(mean, mean.max(axis=1, keepdims=True) - MOST_PER_WORD)
+        return out
+
+    def predict(self, texts: list[str | None], memo: Memo) -> tuple[list[str], list[float]]:
+        counted = [Counter(words_of(text)) if self.langs else Counter() for text in texts]
+        memo.learn(self, counted)
         names, scores = [], []
-        for text in texts:
-            words = words_of(text)
-            if not words or not self.langs:
+        for words in counted:
+            if not words:
                 names.append(UNKNOWN)
                 scores.append(0.0)
                 continue
-            total, counts = np.zeros(len(self.langs)), Counter(words)
-            rows = []
-            for word in counts:
-                if (row := cache.get(word)) is None:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    row = cache[word] = self.word(word)
-                rows.append(row)
-            total = np.fromiter(counts.values(), float, len(rows)) @ np.asarray(rows)
+            n = np.fromiter(words.values(), np.float64, len(words))
+            total = n @ memo.rows[np.fromiter(map(memo.at.__getitem__, words), np.int64, len(words))]
             best = int(np.argmax(total)) if total.any() else self.default
-            odds = np.exp((total - total.max()) / max(1.0, len(words) ** 0.5))
+            odds = np.exp((total - total.max()) / max(1.0, n.sum() ** 0.5))
             names.append(self.langs[best])
             scores.append(float(odds[best] / odds.sum()))
         return names, scores
 
 
+class Memo:
+    """Scores of words met so far, forgotten when there are more than CACHE."""
+
+    def __init__(self):
+        self.at: dict[str, int] = {}
+        self.rows = np.zeros((0, 0))
+
+    def learn(self, model: Model, counted: list[Counter]) -> None:
+        if len(self.at) > CACHE:
+            self.at, self.rows = {}, np.zeros((0, 0))
+        new = [w for w in dict.fromkeys(w for words in counted for w in words) if w not in self.at]
+        if new:
+            scored = model.score_words(new)
+            start = len(self.at)
+            if len(self.rows) < start + len(new):
+                grown = np.zeros((2 * (start + len(new)), scored.shape[1]))
+                if start:
+                    grown[:start] = self.rows[:start]
+                self.rows = grown
+            self.rows[start : start + len(new)] = scored
+            self.at.update(zip(new, range(start, start + len(new)), strict=True))
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
     """Fit on the sample rows of smallest hash of labelled (doc_id, text, lang)."""
     ranked = labelled.where("lang is not null").select("lang", "text", F.xxhash64(F.coalesce("doc_id", F.lit(-1))).alias("by"))
@@ -145,11 +186,19 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, max_words: int = MAX_WORDS, m
     return Model(pd.concat(kept, ignore_index=True), totals)
 
 
+#: Texts that are predicted at once.
+TEXTS = 200
+
+
 def _predict(broadcast):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, cache = broadcast.value, {}
+        model, memo = broadcast.value, Memo()
         for pdf in batches:
-            names, scores = model.predict(pdf.pop("text").tolist(), cache)
+            texts, names, scores = pdf.pop("text").tolist(), [], []
+            for i in range(0, len(texts), TEXTS):
+                some = model.predict(texts[i : i + TEXTS], memo)
+                names += some[0]
+                scores += some[1]
             pdf["lang_pred"], pdf["score"] = names, scores
             yield pdf
 
@@ -165,11 +214,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without a language (`und`) go. lang stays as it came."""
     model = spark.sparkContext.broadcast(fit(docs.select("doc_id", "text", "lang")))
-    cache: dict[str, np.ndarray] = {}
+    memo = Memo()
 
     @F.pandas_udf("boolean")
     def has_language(text: pd.Series) -> pd.Series:
-        return pd.Series([x != UNKNOWN for x in model.value.predict(text.tolist(), cache)[0]], dtype=bool)
+        texts = text.tolist()
+        found = (model.value.predict(texts[i : i + TEXTS], memo)[0] for i in range(0, len(texts), TEXTS))
+        return pd.Series([x != UNKNOWN for some in found for x in some], dtype=bool)
 
     return docs.where(has_language("text"))
 
