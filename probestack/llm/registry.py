@@ -8,6 +8,7 @@ from probestack.llm.licenses import op5_licenses
 from probestack.llm.lm_score import op6_lm_score
 from probestack.llm.mixing import OP9_SQL, op9_mixing
 from probestack.llm.near_dedup import op8_near_dedup
+from probestack.llm.token_counts import op7_token_counts
 from probestack.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_embed_dedup": op4_embed_dedup,
     "op5_licenses": op5_licenses,
     "op6_lm_score": op6_lm_score,
+    "op7_token_counts": op7_token_counts,
     "op8_near_dedup": op8_near_dedup,
     "op9_mixing": op9_mixing,
     "op10_warc": op10_warc,
