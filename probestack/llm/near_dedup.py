@@ -147,9 +147,11 @@ def _elements(width: int):
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
     """Of the pairs (a, b), those whose bags overlap by threshold or more."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    bags = scratch(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_elements(width), "id long, bag array<long>"), "bags")
+    # Merge joins at every size: what is broadcast here would grow with the input.
+    bags = scratch(docs.join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_elements(width), "id long, bag array<long>"), "bags")
     # A doc_id with several texts has several bags: pairs are verified for any of them.
-    joined = pairs.join(bags.select(F.col("id").alias("a"), F.col("bag").alias("x")), "a").join(bags.select(F.col("id").alias("b"), F.col("bag").alias("y")), "b")
+    joined = pairs.join(bags.select(F.col("id").alias("a"), F.col("bag").alias("x")).hint("merge"), "a")
+    joined = joined.join(bags.select(F.col("id").alias("b"), F.col("bag").alias("y")).hint("merge"), "b")
     common = F.size(F.array_intersect("x", "y"))
     whole = F.size("x") + F.size("y")
     near = joined.where(F.least(F.size("x"), F.size("y")) >= threshold * F.greatest(F.size("x"), F.size("y"))).where(common >= threshold * (whole - common))
@@ -166,25 +168,25 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     first = scratch(worded.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "first")
     buckets = first.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
     full = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("bucket", "id").alias("by"), "id"))["id"].alias("centre")).where("n > 1")
-    held = scratch(buckets.join(full, "bucket").select("bucket", "id", "centre"), "buckets")
+    held = scratch(buckets.join(full.hint("merge"), "bucket").select("bucket", "id", "centre"), "buckets")
     star = scratch(held.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "star")
     links = _verified(star, docs, width, threshold)
     classes = components(links)
 
     # Where a bucket still holds several components, their members meet one another.
-    mine = held.join(classes, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    mine = held.join(classes.hint("merge"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
     mixed = mine.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    left = scratch(mine.join(mixed, "bucket"), "mixed")
+    left = scratch(mine.join(mixed.hint("merge"), "bucket"), "mixed")
     right = left.select("bucket", F.col("id").alias("other"), F.col("component").alias("its"))
-    meet = left.join(right, "bucket").where("component < its").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    more = scratch(meet.join(star, ["a", "b"], "left_anti"), "meet")
+    meet = left.join(right.hint("merge"), "bucket").where("component < its").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    more = scratch(meet.join(star.hint("merge"), ["a", "b"], "left_anti"), "meet")
     if not more.isEmpty():
         links = links.unionAll(_verified(more, docs, width, threshold))
         classes = components(links)
     classes = scratch(classes, "classes")
 
-    of_copy = first.join(classes, first["rep"] == classes["id"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("class_id"))
-    out = worded.join(of_copy, ["d1", "d2"]).select("doc_id", "class_id", "n_words").unionAll(
+    of_copy = first.join(classes.hint("merge"), first["rep"] == classes["id"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("class_id"))
+    out = worded.join(of_copy.hint("merge"), ["d1", "d2"]).select("doc_id", "class_id", "n_words").unionAll(
         signed.where("doc_id is null or n_words = 0").select("doc_id", F.col("doc_id").alias("class_id"), "n_words")
     )
     out = out.distinct()
@@ -195,7 +197,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each class stays, that with the smallest doc_id."""
     found = scratch(near_duplicates(docs), "classes")
     gone = found.where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
