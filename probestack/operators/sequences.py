@@ -86,7 +86,7 @@ def peak_table(df: DataFrame, utterance: str = "utt_id", value: str = "value", o
         pdf = pdf.sort_values(order)
         x = pdf[value].to_numpy(float)
         at, prominence = peaks(x)
-        return pd.DataFrame({utterance: pdf[utterance].iloc[:1].repeat(len(at)).to_numpy(), "pos": pdf[order].to_numpy()[at], "height": x[at], "prominence": prominence})
+        return pd.DataFrame({utterance: [pdf[utterance].iloc[0]] * len(at), "pos": pdf[order].to_numpy()[at], "height": x[at], "prominence": prominence})
 
     return df.select(utterance, order, value).groupBy(utterance).applyInPandas(run, f"`{utterance}` {kind}, pos long, height double, prominence double")
 
@@ -147,7 +147,7 @@ def _grid(windows: tuple[int, ...], kinds: tuple[str, ...], utterance: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame")
         v = np.stack(pdf["vec"].to_list()).astype(float)
-        parts = [pd.DataFrame({utterance: pdf[utterance].iloc[:0], "kind": [], "window": [], "frame": [], "prominence": []})]
+        who, rows = pdf[utterance].iloc[0], []
         a, b = v[:-1], v[1:]
         for kind in kinds:
             if kind == "euclidean":
@@ -159,9 +159,8 @@ def _grid(windows: tuple[int, ...], kinds: tuple[str, ...], utterance: str):
                     continue
                 smooth = np.lib.stride_tricks.sliding_window_view(dist, n).mean(axis=1)
                 at, prominence = peaks(smooth)
-                parts.append(pd.DataFrame({utterance: np.repeat(pdf[utterance].iloc[0], len(at)), "kind": kind, "window": n, "frame": at + n // 2, "prominence": prominence}))
-        out = pd.concat([p for p in parts if len(p)] or parts[:1], ignore_index=True)
-        return out.astype({"window": "int32", "frame": "int64", "prominence": "float64"})
+                rows += [(who, kind, n, int(f) + n // 2, float(p)) for f, p in zip(at, prominence, strict=True)]
+        return pd.DataFrame(rows, columns=[utterance, "kind", "window", "frame", "prominence"])
 
     return run
 
