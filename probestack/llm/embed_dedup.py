@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probestack.llm.shared import components, read_table, scratch, small_side
+from probestack.llm.shared import Forest, components, read_table, scratch, small_side
 
 THRESHOLD = 0.93
 BLOCK_DIMS = 16
@@ -93,25 +93,6 @@ def _slabs(geometry: Geometry):
     return run
 
 
-class Forest:
-    """Union-find over arrays; the root is the smallest index."""
-
-    def __init__(self, n: int):
-        self.parent = np.arange(n)
-
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
-        p = self.parent
-        while True:
-            ra, rb = p[a], p[b]
-            differ = ra != rb
-            if not differ.any():
-                return
-            a, b = a[differ], b[differ]
-            np.minimum.at(p, np.maximum(ra, rb)[differ], np.minimum(ra, rb)[differ])
-            while (up := p[p]).tobytes() != p.tobytes():
-                p[:] = up
-
-
 def linked(x: np.ndarray, y: np.ndarray, block: int, same: bool, geometry: Geometry, tile: int = TILE):
     """Index pairs of x and y, tile by tile, that link and whose first admitting block is block."""
     dims = x.shape[1]

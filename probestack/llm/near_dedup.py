@@ -10,9 +10,10 @@ equal to their weighted Jaccard similarity, and points are drawn in order of tim
 change a register. Bands of registers name candidates; each candidate is verified by exact multiset
 overlap; classes are the connected components of verified links.
 
-No bucket is expanded into all pairs at once. A first pass verifies every member of a bucket against
-one member drawn by hash per band; components of that pass are then compared only where a bucket
-still holds more than one of them, so copies of one text cost one comparison per band and no link
+No bucket is expanded into pairs. A first pass verifies every member of a bucket against one member
+drawn by hash. Where a bucket then still holds several components, members outside its largest one
+meet all members of other components: chunk by chunk, bags held once per chunk, in tasks that return a
+spanning forest of the links they find. Copies of one text cost one comparison per band, and no link
 between different components is passed over.
 
 Defined cases: a null, empty or wordless text is a class of its own; texts with the same words are
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probestack.llm.shared import components, discard, read_table, scratch
+from probestack.llm.shared import Forest, components, discard, read_table, scratch
 from probestack.llm.text import ALNUM, U, bounded, gram_hashes, mix, split_words, streams
 
 WIDTH = 5
@@ -144,23 +145,109 @@ def _elements(width: int):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, threshold: float) -> DataFrame:
+def _bags(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Bags (id, bag) of the documents in ids (doc_id).
+
+    Merge joins at every size: what would be broadcast here grows with the input.
+    """
+    return scratch(docs.join(ids.distinct().hint("merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_elements(width), "id long, bag array<long>"), "bags")
+
+
+def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     """Of the pairs (a, b), those whose bags overlap by threshold or more."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # Merge joins at every size: what is broadcast here would grow with the input.
-    bags = scratch(docs.join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_elements(width), "id long, bag array<long>"), "bags")
     # A doc_id with several texts has several bags: pairs are verified for any of them.
     joined = pairs.join(bags.select(F.col("id").alias("a"), F.col("bag").alias("x")).hint("merge"), "a")
     joined = joined.join(bags.select(F.col("id").alias("b"), F.col("bag").alias("y")).hint("merge"), "b")
     common = F.size(F.array_intersect("x", "y"))
     whole = F.size("x") + F.size("y")
     near = joined.where(F.least(F.size("x"), F.size("y")) >= threshold * F.greatest(F.size("x"), F.size("y"))).where(common >= threshold * (whole - common))
-    out = scratch(near.select("a", "b").distinct(), "links")
-    discard(bags)
+    return scratch(near.select("a", "b").distinct(), "links")
+
+
+#: Members of a bucket that a task holds of either side, and elements whose occurrences it multiplies at once.
+CHUNK = 1024
+COLUMNS = 4096
+
+
+def overlaps(elements: np.ndarray, row: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the bags of rows left with those of rows right; elements lie in row's bags."""
+    order = np.argsort(elements, kind="stable")
+    elements, row = elements[order], row[order]
+    starts = np.concatenate([[True], elements[1:] != elements[:-1]]) if len(elements) else np.zeros(0, bool)
+    column = np.cumsum(starts) - 1
+    shared = np.bincount(column)[column] > 1 if len(column) else starts
+    row, column = row[shared], column[shared]
+    column = np.unique(column, return_inverse=True)[1] if len(column) else column
+    out = np.zeros((len(left), len(right)), np.float32)
+    place = np.full((2, n), -1)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    for at in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        here = slice(np.searchsorted(column, at), np.searchsorted(column, at + COLUMNS))
+        r, c = row[here], column[here] - at
+        sides = []
+        for k, size in ((0, len(left)), (1, len(right))):
+            m = np.zeros((size, COLUMNS), np.float32)
+            mine = place[k, r] >= 0
+            m[place[k, r[mine]], c[mine]] = 1
+            sides.append(m)
+        out += sides[0] @ sides[1].T
     return out
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def _meet(threshold: float):
+    """Links between different components among the members of a task, as a forest (a, b)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, component = table.column("id").to_numpy(), table.column("component").to_numpy()
+        outer = table.column("outer").to_numpy(zero_copy_only=False)
+        kind, same = table.column("kind")[0].as_py(), table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        part = table.column("part").to_numpy()
+        if kind == 1:  # members outside the largest component against those inside
+            left, right = np.flatnonzero(outer), np.flatnonzero(~outer)
+        elif same:
+            left = right = np.arange(len(ids))
+        else:
+            left, right = np.flatnonzero(part == part.min()), np.flatnonzero(part == part.max())
+        lists = table.column("bag").combine_chunks()
+        sizes = np.asarray(lists.value_lengths())
+        common = overlaps(lists.flatten().to_numpy(), np.repeat(np.arange(len(ids)), sizes), len(ids), left, right)
+        whole = sizes[left][:, None] + sizes[right][None, :]
+        x, y = np.nonzero((common >= threshold * (whole - common)) & (component[left][:, None] != component[right][None, :]))
+        x, y = left[x], right[y]
+        forest = Forest(len(ids))
+        forest.join(x, y)
+        joined = np.flatnonzero(forest.parent != np.arange(len(ids)))
+        return pa.table({"a": pa.array(ids[joined]), "b": pa.array(ids[forest.parent[joined]])})
+
+    return run
+
+
+def _met(mine: DataFrame, docs: DataFrame, width: int, threshold: float, chunk: int) -> DataFrame | None:
+    """Links between components that share a bucket, for mine (bucket, id, component); None if no bucket has two."""
+    parts = mine.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    most = F.max(F.struct("n", "component"))
+    mixed = parts.groupBy("bucket").agg(most["component"].alias("major"), most["n"].alias("inside"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
+    cut = lambda n: F.ceil(n / chunk).cast("int")
+    mixed = mixed.select("bucket", "major", cut(F.col("inside")).alias("k_in"), cut(F.col("all") - F.col("inside")).alias("k_out"))
+    rows = mine.join(mixed.hint("merge"), "bucket").withColumn("outer", F.col("component") != F.col("major"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.when(F.col("outer"), F.col("k_out")).otherwise(F.col("k_in"))).cast("int"))
+    upto = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
+    task = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    among = F.transform(upto("k_out"), lambda j: task(0, F.least(F.col("part"), j), F.greatest(F.col("part"), j)))
+    across = F.transform(upto("k_in"), lambda j: task(1, F.col("part"), j))
+    inside = F.transform(upto("k_out"), lambda i: task(1, i, F.col("part")))
+    rows = scratch(rows.select("bucket", "id", "component", "outer", "part", F.explode(F.when(F.col("outer"), F.concat(among, across)).otherwise(inside)).alias("t")).select("*", "t.*").drop("t"), "mixed")
+    if rows.isEmpty():
+        return None
+    bags = _bags(rows.select(F.col("id").alias("doc_id")), docs, width)
+    dealt = rows.join(bags.hint("merge"), "id")
+    links = scratch(dealt.groupBy("bucket", "kind", "i", "j").applyInArrow(_meet(threshold), "a long, b long").distinct(), "links")
+    discard(bags)
+    discard(rows)
+    return links
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, chunk: int = CHUNK) -> DataFrame:
     """Class of each document: doc_id, class_id (smallest doc_id of its class), kept (doc_id = class_id), n_words."""
     docs = docs.select("doc_id", "text")
     signed = scratch(docs.mapInArrow(_sign(width, bands, rows), "doc_id long, n_words long, d1 long, d2 long, bands array<long>"), "signed")
@@ -170,19 +257,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     full = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("bucket", "id").alias("by"), "id"))["id"].alias("centre")).where("n > 1")
     held = scratch(buckets.join(full.hint("merge"), "bucket").select("bucket", "id", "centre"), "buckets")
     star = scratch(held.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "star")
-    links = _verified(star, docs, width, threshold)
+    bags = _bags(star.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, width)
+    links = _verified(star, bags, threshold)
+    discard(bags)
     classes = components(links)
-
-    # Where a bucket still holds several components, their members meet one another.
     mine = held.join(classes.hint("merge"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    mixed = mine.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    left = scratch(mine.join(mixed.hint("merge"), "bucket"), "mixed")
-    right = left.select("bucket", F.col("id").alias("other"), F.col("component").alias("its"))
-    meet = left.join(right.hint("merge"), "bucket").where("component < its").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    more = scratch(meet.join(star.hint("merge"), ["a", "b"], "left_anti"), "meet")
-    if not more.isEmpty():
-        links = links.unionAll(_verified(more, docs, width, threshold))
-        classes = components(links)
+    more = _met(mine, docs, width, threshold, chunk)
+    if more is not None:
+        classes = components(links.unionAll(more))
     classes = scratch(classes, "classes")
 
     of_copy = first.join(classes.hint("merge"), first["rep"] == classes["id"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("class_id"))

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,3 +129,22 @@ def _flat(edges: DataFrame) -> bool:
 def small_side(df: DataFrame, most_rows: int) -> DataFrame:
     """df marked for broadcast if it has most_rows rows at most, else as it is."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+class Forest:
+    """Union-find over arrays; the root is the smallest index."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        p = self.parent
+        while True:
+            ra, rb = p[a], p[b]
+            differ = ra != rb
+            if not differ.any():
+                return
+            a, b = a[differ], b[differ]
+            np.minimum.at(p, np.maximum(ra, rb)[differ], np.minimum(ra, rb)[differ])
+            while (up := p[p]).tobytes() != p.tobytes():
+                p[:] = up
