@@ -276,10 +276,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each class stays, that with the smallest doc_id."""
+    """Pipeline stage: one document of each class stays, that with the smallest doc_id, once if its row repeats."""
     found = scratch(near_duplicates(docs), "classes")
     gone = found.where("not kept").select("doc_id")
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    left = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    twice = scratch(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeats")
+    if twice.isEmpty():
+        return left
+    again = left.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    return left.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(again)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
