@@ -164,12 +164,16 @@ def middle_of(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, (2.0 ** (levels - 1.0) + 2.0**levels - 1.0) / 2.0, 0.0)
 
 
-def _positions(prints: np.ndarray, order: int, level, bits: np.ndarray | int) -> Iterator[np.ndarray]:
-    """Bit places of the events (order, print, level) in segments of so many bits."""
-    a = mix(prints.astype(U) | (U(order) << U(40)) | (np.asarray(level).astype(U) << U(48)))
-    step = (a >> U(32)) | U(1)
-    for i in range(PROBES):
-        yield (mix(a + U(i) * step) % np.asarray(bits).astype(U)).astype(np.int64)
+_HALF = U(0xFFFFFFFF)
+
+
+def _event(prints: np.ndarray, order: int, level: int) -> np.ndarray:
+    return mix(prints.astype(U) | U(order << 40 | level << 48))
+
+
+def _place(event: np.ndarray, i: int, bits: np.ndarray | np.uint64) -> np.ndarray:
+    """The i-th bit of events in segments of so many bits (below 2^32), by double hashing of an event's halves."""
+    return ((((event >> U(32)) + U(i) * (event | U(1))) & _HALF) * bits) >> U(32)
 
 
 def segment(parts: list[tuple[int, np.ndarray, np.ndarray]], most_bits: int) -> bytes:
@@ -185,8 +189,9 @@ def segment(parts: list[tuple[int, np.ndarray, np.ndarray]], most_bits: int) ->
     field = np.zeros(bits, bool)
     for order, prints, levels in kept:
         for level in range(1, int(levels.max(initial=0)) + 1):
-            for places in _positions(prints[levels >= level], order, level, bits):
-                field[places] = True
+            event = _event(prints[levels >= level], order, level)
+            for i in range(PROBES):
+                field[_place(event, i, U(bits))] = True
     return np.packbits(field, bitorder="little").tobytes()
 
 
@@ -220,8 +225,8 @@ class Model:
     def __init__(self, rows: list, buckets: int, texts: int):
         self.buckets, self.texts = buckets, texts
         self.tokens, self.types = sum(r["tokens"] for r in rows), sum(r["types"] for r in rows)
-        self.bits = np.full(buckets, 64, np.int64)
-        offset, parts, hot = np.zeros(buckets, np.int64), [b"\0" * 8], []
+        self.bits = np.full(buckets, 64, U)
+        offset, parts, hot = np.zeros(buckets, U), [b"\0" * 8], []
         at = 8
         for r in rows:
             self.bits[r["bucket"]], offset[r["bucket"]] = len(r["bits"]) * 8, at * 8
@@ -237,15 +242,18 @@ class Model:
     def levels(self, keys: np.ndarray, order: int) -> np.ndarray:
         """Level of each key: probes go on while the filter has the next."""
         bucket, prints = bucket_of(keys, self.buckets), print_of(keys)
+        bits, offset = self.bits[bucket], self.offset[bucket]
         out, live, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
         while len(live) and level < 64:
-            there = live
-            places = _positions(prints[live], order, level, self.bits[bucket[live]])
-            present = np.ones(len(live), bool)
-            for place in places:
-                place = place + self.offset[bucket[live]]
-                present &= (self.field[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-            live = there[present]
+            event = _event(prints, order, level)
+            # Most absent events fail at the first probe: the others are made for what is left.
+            for probes in (range(1), range(1, 3), range(3, PROBES)):
+                present = np.ones(len(live), bool)
+                for i in probes:
+                    place = _place(event, i, bits) + offset
+                    present &= ((self.field[place >> U(3)] >> (place & U(7)).astype(np.uint8)) & np.uint8(1)).view(bool)
+                live, event, bits, offset = live[present], event[present], bits[present], offset[present]
+            prints = print_of(keys[live])
             out[live] = level
             level += 1
         return out
@@ -258,7 +266,8 @@ class Model:
         context = np.empty_like(count)
         context[1:] = count[:-1]
         context[first] = float(self.texts)
-        pair = np.minimum(middle_of(self.levels(bigrams(tokens), 2)), np.minimum(context, count))
+        pairs, again = np.unique(bigrams(tokens), return_inverse=True)
+        pair = np.minimum(middle_of(self.levels(pairs, 2))[again], np.minimum(context, count))
         single = np.minimum((count + 1.0) / self.whole, 1.0)
         return np.log10((pair + PRIOR * single) / (context + PRIOR))
 
