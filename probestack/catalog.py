@@ -269,6 +269,19 @@ def frame_stack(spark, d):
     return pooling.long_form(pooling.stack_frames(f, 3, 1), ["utt_id", "out"]).withColumn("value", r6("value"))
 
 
+@query(
+    "mel_align",
+    f"""WITH {EV}, o AS (SELECT utt_id, value, unnest(range(greatest(0, CAST(ceil((frame - 3) / 2e0) AS BIGINT)), frame // 2 + 1)) AS o FROM ev),
+p AS (SELECT utt_id, o, avg(value) AS v2 FROM o GROUP BY utt_id, o HAVING count(*) = 4)
+SELECT ev.utt_id, ev.frame, round(value, 6) + 0e0 AS v1, round(v2, 6) + 0e0 AS v2 FROM ev JOIN p ON p.utt_id = ev.utt_id AND p.o = ev.frame""",
+)
+def mel_align(spark, d):
+    """Frames against the same signal pooled to a local layer's kernel and stride (layer 5: 4 and 2)."""
+    f = frames(spark, d).select("utt_id", "frame", F.array("value").alias("vec"))
+    both = pooling.align_frames(f, pooling.match_rate(f, *readers.RECEPTIVE_FIELDS["5"]))
+    return both.select("utt_id", "frame", r6(F.get("v1", F.lit(0))).alias("v1"), r6(F.get("v2", F.lit(0))).alias("v2"))
+
+
 # Sequences
 
 

@@ -54,3 +54,14 @@ def long_form(df: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
 def join_labels(reps: DataFrame, embed: DataFrame, label: Column | str = "label", word: str = "word") -> DataFrame:
     """Inner join of representations with a second view by label."""
     return reps.join(embed, reps[label] == embed[word]) if isinstance(label, str) else reps.join(embed, label == embed[word])
+
+
+def align_frames(reps: DataFrame, other: DataFrame, utterance: str = "utt_id") -> DataFrame:
+    """Frames that both have, as v1 and v2: the longer of two utterances is cut to the shorter."""
+    return reps.withColumnRenamed("vec", "v1").join(other.select(utterance, "frame", F.col("vec").alias("v2")), [utterance, "frame"])
+
+
+def match_rate(fbank: DataFrame, kernel: int, stride: int, utterance: str = "utt_id") -> DataFrame:
+    """A filterbank brought to a layer's receptive field and stride: utterance, frame, vec."""
+    pooled = as_vectors(strided_pool(fbank, kernel, stride, utterance), [utterance, "out"])
+    return pooled.withColumnRenamed("out", "frame")
