@@ -9,7 +9,8 @@ lines and split by the two-means threshold of their logarithms; lines above it a
 
 The content region is the set of elements that hold the seeds: every article or main element that
 has one, or else the innermost element that holds most of the seeds' text. All lines inside the
-region that are not boilerplate are returned, so short paragraphs between long ones stay.
+region that are not boilerplate are returned, so short paragraphs between long ones stay; without an
+article, lines that are mostly links are left out.
 
 Defined cases: a null or empty html, and one without content, give an empty text; what is not closed
 is closed by the page's end; broken markup is read as html.parser reads it; rows are treated one by
@@ -55,7 +56,14 @@ ENDS_P = frozenset(
 #: An open element of the first kind is ended by the start of one of the second.
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "head": {"body"}}
 SIGMA = 1.5
-_SPLIT = re.compile(r"[^a-z0-9]+")
+_SPLIT = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+#: Beginnings of such words (commentlist, cookiebar, ...).
+BOILER_STARTS = ("comment", "cookie", "sidebar", "advert", "newsletter", "breadcrumb", "disqus", "sponsor")
+#: Words that mark an article as boilerplate; others may well name its kind or topic.
+ARTICLE_WORDS = frozenset("comment comments reply related promo sponsored ad advert".split())
+#: Of a line outside any article: more than this part of it in links makes it a menu.
+LINK_SHARE = 0.6
 
 
 class Line(NamedTuple):
@@ -63,22 +71,26 @@ class Line(NamedTuple):
     tags: int
     path: tuple[int, ...]  # numbers of the open elements
     boiler: bool
+    links: int  # characters within links
 
 
 def is_boilerplate(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     if tag in BOILER_TAGS:
         return True
     for name, value in attrs:
+        if name == "hidden":
+            return True
         if not value:
             continue
-        if name == "role" and value.strip().lower() in BOILER_ROLES:
-            return True
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and not BOILER_WORDS.isdisjoint(_SPLIT.split(value.lower())):
-            return True
-        if name in ("class", "id") and tag == "article" and not {"comment", "comments", "reply", "related", "promo", "sponsored", "ad"}.isdisjoint(_SPLIT.split(value.lower())):
+        if name == "role" and value.strip().lower() in BOILER_ROLES or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
             return True
+        if name in ("class", "id") and tag not in ("html", "body", "main"):
+            words = {x.lower() for x in _SPLIT.split(value)}
+            if tag == "article":
+                if words & ARTICLE_WORDS:
+                    return True
+            elif words & BOILER_WORDS or any(w.startswith(BOILER_STARTS) for w in words):
+                return True
     return False
 
 
@@ -91,15 +103,15 @@ class Events(HTMLParser):
         self.names: list[str] = ["#page"]  # by element number
         self.open: list[tuple[str, int, bool]] = []
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags = self.links = 0
 
     def flush(self) -> None:
         if self.parts:
             if text := " ".join("".join(self.parts).split()):
                 boiler = any(x[2] for x in self.open)
-                self.lines.append(Line(text, self.tags, (0, *(x[1] for x in self.open)), boiler))
+                self.lines.append(Line(text, self.tags, (0, *(x[1] for x in self.open)), boiler, self.links))
                 self.tags = 0
-            self.parts = []
+            self.parts, self.links = [], 0
 
     def handle_starttag(self, tag, attrs) -> None:
         if tag in BLOCKS:
@@ -143,6 +155,8 @@ class Events(HTMLParser):
 
     def handle_data(self, data) -> None:
         self.parts.append(data)
+        if any(x[0] == "a" for x in self.open):
+            self.links += len(data.strip())
 
 
 def smoothed(values: list[float], sigma: float = SIGMA) -> list[float]:
@@ -208,7 +222,10 @@ def main_text(html: str | None) -> str:
     region = region_of(lines, seeds, events.names)
     if region != own and own and not any(events.names[e] == "article" for e in region):
         region = own  # an article too short to be a seed
-    return " ".join(lines[i].text for i in useful if not region.isdisjoint(lines[i].path))
+    kept = [i for i in useful if not region.isdisjoint(lines[i].path)]
+    if not any(events.names[e] == "article" for e in region):
+        kept = [i for i in kept if lines[i].links <= LINK_SHARE * len(lines[i].text)]
+    return " ".join(lines[i].text for i in kept)
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

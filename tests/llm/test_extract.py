@@ -26,6 +26,23 @@ def test_pages_without_article_and_broken_markup():
     assert main_text("<article>Ti.</article><nav>" + "<a>long menu entry of words</a>" * 50 + "</nav>") == "Ti."
 
 
+def test_layouts():
+    para = "A sentence of ordinary length that says something or other about it. " * 3
+    body = f"<h2>Head</h2><p>{para}</p><p>ok</p><p>{para}</p>"
+    want = " ".join(("Head " + para + "ok " + para).split())
+    wrap = {
+        "table": f"<table><tr><td><a href=a>Home</a><br><a href=b>News</a></td><td>{body}</td></tr></table>",
+        "divs": f"<div id=topNav><a>One</a></div><div class=wrap><div class=post>{body}</div><div class='col sideBar'><p>{para}</p></div></div>",
+        "main": f"<header><h1>Site</h1></header><main>{body}<div class=commentlist><p>{para}</p></div></main><footer>{para}</footer>",
+        "comments": f"<article>{body}</article><section id=comments><article class=comment><p>{para}</p></article></section>",
+        "notice": f"<div class='alert notice'>{para}</div><div hidden>{para}</div><div style='display: none'>{para}</div><div>{body}</div><div role=complementary>{para}</div>",
+        "links": f"<div><ul><li><a href=1>First of the links</a><li><a href=2>Second of the links</a></ul>{body}</div>",
+        "forms": f"<div>{body}<form><label>Mail</label><textarea>{para}</textarea><button>Go</button></form><select><option>x</select></div>",
+    }
+    for name, html in wrap.items():
+        assert main_text(f"<html><head><title>{para}</title></head><body>{html}</body></html>") == want, name
+
+
 def test_rows(spark):
     rows = [(1, "u", PAGE, 5), (1, "u", PAGE, 5), (None, None, None, None), (3, "u", "<article>" + "<p>w x</p>" * 20_000 + "</article>", 1)]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long")
