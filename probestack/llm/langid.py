@@ -175,13 +175,14 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, max_words: int = MAX_WORDS, m
     chosen = ranked.where(F.col("by") <= F.lit(top[0])) if top[1] >= sample else ranked
     counts = chosen.select("lang", "text").mapInPandas(_tally, "lang string, size int, item string, n long").groupBy("lang", "size", "item").agg(F.sum("n").alias("n"))
     counts = counts.persist()
-    totals = counts.groupBy("lang", "size").agg(F.sum("n").alias("n")).toPandas()
-    whole = {(a, b): n for a, b, n in totals[["lang", "size", "n"]].itertuples(index=False)}
+    sums = counts.groupBy("lang", "size").agg(F.sum("n").alias("total"))
+    totals = sums.withColumnRenamed("total", "n").toPandas()
+    # One row per language and length: small, and bounded by the number of languages.
+    shared = counts.join(F.broadcast(sums), ["lang", "size"])
     kept = []
     for size in range(MAX_GRAM + 1):
-        share = F.col("n") / F.create_map(*[F.lit(x) for (a, b), n in whole.items() if b == size for x in (a, float(n))])[F.col("lang")] if whole else F.col("n")
-        best = counts.where(F.col("size") == size).orderBy(share.desc(), "lang", "item").limit(max_grams if size else max_words)
-        kept.append(best.toPandas())
+        best = shared.where(F.col("size") == size).orderBy((F.col("n") / F.col("total")).desc(), "lang", "item").limit(max_grams if size else max_words)
+        kept.append(best.select("lang", "size", "item", "n").toPandas())
     counts.unpersist()
     return Model(pd.concat(kept, ignore_index=True), totals)
 

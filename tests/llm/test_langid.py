@@ -31,6 +31,11 @@ def test_nothing_to_learn_from(spark):
     assert fit(spark.createDataFrame([], SCHEMA)).langs == []
 
 
+def test_words_too_short_for_long_grams(spark):
+    model = fit(spark.createDataFrame([(1, "a", "en", "x"), (2, "bb", "de", "x")], SCHEMA))
+    assert model.predict(["a", "bb", "bbb"], Memo())[0] == ["en", "de", "de"]
+
+
 def test_sample_is_bounded_and_reproducible(spark):
     docs = train(spark)
     a, b = fit(docs, sample=5), fit(docs.repartition(6), sample=5)
