@@ -4,8 +4,9 @@ Texts are lower-cased and cut into words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`
 names the places of an 8-word window that count; a hash of those words (and the mask's number) is
 joined between documents and benchmark items, so a substituted word at an ignored place does not
 break a hit. Every hit names a diagonal (document position minus item position). Along each, the
-item is compared with the document word for word, and the item's words matched on any diagonal are
-united: a document is contaminated by an item if at least MIN_OVERLAP of the item's words match.
+item is compared with the document word for word. A document is contaminated by an item if at least
+MIN_OVERLAP of the item's words match on the diagonals together, or DENSE words within a stretch of
+STRETCH on one of them, so parts of long items count as well.
 
 Windows are made and hashed inside one generated loop over a document's word array and looked up in
 the benchmark's hashes there; only hits leave it. The benchmark side is broadcast up to
@@ -20,7 +21,7 @@ ignored. Empty tables give no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from probestack.llm.shared import read_table, scratch
@@ -30,6 +31,7 @@ MASKS = ("11011001", "10010111")
 SHORT_MASK = "11111"
 MIN_WORDS = 5
 MIN_OVERLAP = 0.6
+DENSE, STRETCH = 13, 16
 BROADCAST_SEEDS = 1_000_000
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -52,8 +54,8 @@ def _windows(rows: DataFrame, keep: list[str], masks: list[tuple[int, str]]) ->
     return placed.select(*keep, "words", "at", F.explode(F.array(*[_seed(F.col("words"), F.col("at"), m, n) for n, m in masks])).alias("seed"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_overlap: float = MIN_OVERLAP) -> DataFrame:
-    """doc_id, item_id, n_matched, n_item_words, overlap of documents that hold min_overlap of an item."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, min_overlap: float = MIN_OVERLAP, dense: int = DENSE, stretch: int = STRETCH) -> DataFrame:
+    """doc_id, item_id, n_matched, n_dense, n_item_words, overlap of documents that hold an item or a dense part of it."""
     items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") >= MIN_WORDS).distinct()
     items = items.select("item_id", "words", F.xxhash64("words").alias("item_key"))
     span = len(MASKS[0])
@@ -73,7 +75,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_overlap: float = MIN
         found = found.select("doc_id", "item_id", "item_key", "n_item_words", start.alias("start"), part.alias("part"))
         hits = found if hits is None else hits.unionAll(found)
     if hits is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_matched long, n_item_words long, overlap double").limit(0)
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_matched long, n_dense long, n_item_words long, overlap double").limit(0)
     lines = hits.groupBy("doc_id", "item_id", "item_key", "n_item_words", "start", "part").agg(F.lit(1).alias("one"))
     whole = items.select("item_key", F.col("item_id").alias("own_id"), F.col("words").alias("item"))
     whole = F.broadcast(whole) if whole.limit(BROADCAST_SEEDS // 20 + 1).count() <= BROADCAST_SEEDS // 20 else whole
@@ -81,11 +83,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_overlap: float = MIN
     # Place i of the item lies at start + i of the document: at index i, or i + start where start < 0, of part.
     lead = F.least(F.col("start"), F.lit(0))
     matched = F.filter(F.sequence(F.lit(0), F.col("n_item_words") - 1), lambda i: (i + lead >= 0) & F.coalesce(F.get("item", i) == F.get("part", i + lead), F.lit(False)))
-    matched = lines.select("doc_id", "item_id", "item_key", "n_item_words", F.explode(matched).alias("place"))
-    per = matched.groupBy("doc_id", "item_id", "item_key", "n_item_words").agg(F.count_distinct("place").alias("n_matched"))
-    best = per.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_matched") / F.col("n_item_words")).alias("overlap"), "n_matched", "n_item_words")).alias("best"))
-    out = best.select("doc_id", "item_id", F.col("best.n_matched").cast("long").alias("n_matched"), F.col("best.n_item_words").cast("long").alias("n_item_words"), F.col("best.overlap").alias("overlap"))
-    return out.where(F.col("overlap") >= min_overlap)
+    matched = lines.select("doc_id", "item_id", "item_key", "n_item_words", "start", F.explode(matched).alias("place"))
+    ahead = Window.partitionBy("doc_id", "item_id", "item_key", "start").orderBy("place").rangeBetween(0, stretch - 1)
+    matched = matched.withColumn("near", F.count("*").over(ahead))
+    per = matched.groupBy("doc_id", "item_id", "item_key", "n_item_words").agg(F.count_distinct("place").alias("n_matched"), F.max("near").alias("n_dense"))
+    best = F.max(F.struct((F.col("n_matched") / F.col("n_item_words")).alias("overlap"), "n_dense", "n_matched", "n_item_words"))
+    hit = (F.col("n_matched") >= min_overlap * F.col("n_item_words")) | (F.col("n_dense") >= dense)
+    out = per.where(hit).groupBy("doc_id", "item_id").agg(best.alias("best"))
+    return out.select("doc_id", "item_id", *[F.col(f"best.{c}").cast("long").alias(c) for c in ("n_matched", "n_dense", "n_item_words")], F.col("best.overlap").alias("overlap"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -116,9 +121,10 @@ lines AS (
   SELECT DISTINCT doc_id, item_id, item_seeds.words AS item, doc_seeds.place - item_seeds.place AS start
   FROM doc_seeds JOIN item_seeds ON doc_seeds.mask = item_seeds.mask AND doc_seeds.seed = item_seeds.seed),
 cells AS (SELECT doc_id, item_id, item, start, unnest(range(0, len(item))) AS k FROM lines),
-matched AS (
-  SELECT cells.doc_id, item_id, item, count(DISTINCT k) AS n_matched FROM cells JOIN d USING (doc_id)
-  WHERE start + k >= 0 AND start + k < len(d.words) AND d.words[start + k + 1] = item[k + 1] GROUP BY cells.doc_id, item_id, item)
-SELECT doc_id, item_id, CAST(n_matched AS BIGINT) AS n_matched, CAST(len(item) AS BIGINT) AS n_item_words, n_matched / len(item) AS overlap
-FROM matched WHERE n_matched >= {MIN_OVERLAP} * len(item)
+same AS (
+  SELECT cells.doc_id, item_id, item, start, k, count(*) OVER (PARTITION BY cells.doc_id, item_id, item, start ORDER BY k RANGE BETWEEN CURRENT ROW AND {STRETCH - 1} FOLLOWING) AS near
+  FROM cells JOIN d USING (doc_id) WHERE start + k >= 0 AND start + k < len(d.words) AND d.words[start + k + 1] = item[k + 1]),
+matched AS (SELECT doc_id, item_id, item, count(DISTINCT k) AS n_matched, max(near) AS n_dense FROM same GROUP BY doc_id, item_id, item)
+SELECT doc_id, item_id, CAST(n_matched AS BIGINT) AS n_matched, CAST(n_dense AS BIGINT) AS n_dense, CAST(len(item) AS BIGINT) AS n_item_words, n_matched / len(item) AS overlap
+FROM matched WHERE n_matched >= {MIN_OVERLAP} * len(item) OR n_dense >= {DENSE}
 """

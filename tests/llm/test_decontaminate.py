@@ -28,6 +28,7 @@ def test_substitutions_insertions_and_clean_texts(spark):
         (3, " ".join(noise(5) + inserted)),
         (4, " ".join(noise(300))),
         (5, " ".join(ITEM[:10] + noise(100))),  # a third of the item
+        (10, " ".join(noise(9) + ITEM[4:18] + noise(100))),  # fourteen words in a row
         (6, " ".join(ITEM).upper()),
         (7, None),
         (8, ""),
@@ -36,7 +37,7 @@ def test_substitutions_insertions_and_clean_texts(spark):
         (None, " ".join(ITEM)),
     ]
     got = run(spark, docs, [(70, " ".join(ITEM)), (71, None), (72, ""), (73, "one two")])
-    assert got == {(1, 70): (30, 30), (2, 70): (25, 30), (3, 70): (30, 30), (6, 70): (30, 30), (9, 70): (28, 30), (None, 70): (30, 30)}
+    assert got == {(1, 70): (30, 30), (2, 70): (25, 30), (3, 70): (30, 30), (6, 70): (30, 30), (9, 70): (28, 30), (10, 70): (14, 30), (None, 70): (30, 30)}
 
 
 def test_short_items_repeats_and_empty_tables(spark):
