@@ -153,9 +153,11 @@ def _compare(geometry: Geometry):
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
     """vec_id, n_links, component_id, kept for vectors (vec_id, embedding, label)."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vec"), F.col("label").cast("string").alias("label"))
+    # Single precision travels as it is stored, at half the bytes; all arithmetic is in double.
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("vec"), F.col("label").cast("string").alias("label"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x)
+    norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
     fit = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("vec").isNotNull() & finite & (norm > 0) & (norm < float("inf")), F.lit(False))
     rows = scratch(rows.withColumn("fit", fit).distinct(), "vectors")
     valid = rows.where("fit").select("vec_id", "label", "vec")
@@ -164,7 +166,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, chunk: int
     sample = reps.orderBy(F.xxhash64("id")).select("dims", "vec").limit(SAMPLE).toPandas()
     geometry = Geometry(threshold, {int(d): np.stack(g["vec"].to_list()).astype(float) for d, g in sample.groupby("dims")} if len(sample) else {})
 
-    slabs = scratch(reps.mapInArrow(_slabs(geometry), "id long, label string, dims int, block int, slab int, times long, vec array<double>"), "slabs")
+    slabs = scratch(reps.mapInArrow(_slabs(geometry), f"id long, label string, dims int, block int, slab int, times long, vec {kind}"), "slabs")
     key = ["label", "dims", "block"]
     cells = scratch(slabs.groupBy(*key, "slab").agg(F.count("*").alias("n")).select(*key, "slab", F.ceil(F.col("n") / chunk).cast("int").alias("k")), "cells")
     # A chunk meets the chunks from its own on in its slab, and all of the next slab.
