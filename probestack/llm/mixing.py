@@ -5,7 +5,8 @@ and share 150 % of all words. A target stops at twice its source's size and what
 others by weight until none is above (computed at once: with caps c and weights w the level is the
 largest (total - caps before) / (weights from here) along c / w, and a target is min(c, level * w)).
 rate = target / size of the source; a document is emitted floor(rate) times, and once more where a
-number in [0, 1) hashed from seed and doc_id lies below the fraction, so reruns agree.
+number in [0, 1) hashed from seed and doc_id lies below the fraction, so reruns agree. Of SEEDS seeds,
+each source uses the one whose taken words come nearest its target (the first of equals).
 
 Only per-source rows leave the map side, pre-aggregated; documents are never shuffled. The table of
 sources is broadcast up to BROADCAST_SOURCES rows and joined by key beyond.
@@ -20,12 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from probestack.llm.shared import read_table, scratch
+from probestack.llm.shared import read_table, scratch, small_side
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2.0
-SEED = "mix-1"
+SEED = "mix"
+#: Draws that are tried per source; the one whose sum comes nearest its target is used.
+SEEDS = 16
 BROADCAST_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -49,32 +52,51 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return levels.select("source", "source_size", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
 
 
-def uniform(doc_id: Column, seed: str = SEED) -> Column:
+def uniform(doc_id: Column, seed: Column) -> Column:
     """A number in [0, 1) from the first 48 bits of an md5."""
-    digest = F.md5(F.concat(F.lit(seed + "/"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+    digest = F.md5(F.concat(seed, F.lit("/"), F.coalesce(doc_id.cast("string"), F.lit(""))))
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(2**48))
 
 
-def _planned(docs: DataFrame, weights, share: float, most: float, seed: str) -> DataFrame:
-    """docs as a struct `row`, with size, source_size, target and copies."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").alias("key"), word_count(F.col("text")).alias("size"))
-    targets = scratch(source_targets(rows.select(F.col("key").alias("source"), "size"), weights, share, most), "targets")
-    small = targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    joined = rows.join(F.broadcast(targets) if small else targets, F.col("key").eqNullSafe(F.col("source")))
+def _copies(doc_id: Column, seed: Column) -> Column:
+    """Copies of a document of a source with column rate."""
+    return (F.floor("rate") + (uniform(doc_id, seed) < F.col("rate") - F.floor("rate")).cast("long")).cast("long")
+
+
+def _small(table: DataFrame) -> DataFrame:
+    return small_side(table, BROADCAST_SOURCES)
+
+
+def source_plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED, seeds: int = SEEDS) -> DataFrame:
+    """source, source_size, target, rate and seed of each source of sized (doc_id, source, size)."""
+    targets = source_targets(sized.select("source", "size"), weights, share, most)
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size").cast("double")), F.lit(0.0))
-    extra = (uniform(F.col("row.doc_id"), seed) < rate - F.floor(rate)).cast("long")
-    return joined.select("row", "size", "source_size", "target", (F.floor(rate) + extra).cast("long").alias("copies"))
+    targets = scratch(targets.withColumn("rate", rate), "targets")
+    drawn = sized.join(_small(targets.withColumnRenamed("source", "key")), F.col("key").eqNullSafe(F.col("source")))
+    taken = [F.sum(F.col("size") * _copies(F.col("doc_id"), F.lit(f"{seed}.{k}"))).alias(f"taken_{k}") for k in range(seeds)]
+    sums = drawn.groupBy("key").agg(*taken)
+    both = targets.join(sums, F.col("source").eqNullSafe(F.col("key")))
+    off = F.array_min(F.array(*[F.struct(F.abs(F.col(f"taken_{k}") - F.col("target")).alias("off"), F.lit(k).alias("k")) for k in range(seeds)]))
+    return scratch(both.select("source", "source_size", "target", "rate", F.concat(F.lit(f"{seed}."), off["k"].cast("string")).alias("seed")), "sources")
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return scratch(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sized")
 
 
-def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
+def mix_plan(docs: DataFrame, **options) -> DataFrame:
     """Per row of docs: doc_id, size, source_size, target (its source's), copies, taken (size x copies)."""
-    planned = _planned(docs.select("doc_id", "source", "text"), weights, share, most, seed)
-    return planned.select(F.col("row.doc_id"), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    sized = _sized(docs)
+    sources = _small(source_plan(sized, **options).withColumnRenamed("source", "key"))
+    planned = sized.join(sources, F.col("key").eqNullSafe(F.col("source"))).withColumn("copies", _copies(F.col("doc_id"), F.col("seed")))
+    return planned.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixture: docs' columns, each row as often as its copies, numbered from 1 in mix_copy."""
-    planned = _planned(docs, weights, share, most, seed).where("copies > 0")
+    sources = _small(source_plan(_sized(docs), **options).select(F.col("source").alias("key"), "rate", "seed"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    planned = rows.join(sources, F.col("key").eqNullSafe(F.col("row.source"))).select("row", _copies(F.col("row.doc_id"), F.col("seed")).alias("copies")).where("copies > 0")
     names = [c for c in docs.columns if c != "mix_copy"]
     numbered = planned.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("mix_copy"))
     return numbered.select(*[F.col(f"row.`{c}`") for c in names], "mix_copy")
@@ -103,10 +125,16 @@ levels AS (
 targets AS (
   SELECT source, source_size, least(cap, weight * max(here) OVER ()) AS target FROM levels),
 rates AS (
-  SELECT doc_id, size, source_size, target, CASE WHEN source_size = 0 THEN 0e0 ELSE target / source_size END AS rate,
-    CAST('0x' || substr(md5('mix-1/' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) / 281474976710656e0 AS u
-  FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source),
+  SELECT doc_id, size, source, targets.source_size, target, CASE WHEN source_size = 0 THEN 0e0 ELSE target / source_size END AS rate
+  FROM (SELECT doc_id, source AS key, size FROM sized) JOIN targets ON key IS NOT DISTINCT FROM source),
+draws AS (
+  SELECT source, target, k, sum(size * (CAST(floor(rate) AS BIGINT) + CASE WHEN
+    CAST('0x' || substr(md5('mix.' || k || '/' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) / 281474976710656e0 < rate - floor(rate) THEN 1 ELSE 0 END)) AS taken
+  FROM rates, range(16) t(k) GROUP BY ALL),
+seeds AS (SELECT source AS key, k FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY abs(taken - target), k) AS first FROM draws) WHERE first = 1),
 copied AS (
-  SELECT *, CAST(floor(rate) AS BIGINT) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS copies FROM rates)
+  SELECT rates.*, CAST(floor(rate) AS BIGINT) + CASE WHEN
+    CAST('0x' || substr(md5('mix.' || k || '/' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) / 281474976710656e0 < rate - floor(rate) THEN 1 ELSE 0 END AS copies
+  FROM rates JOIN seeds ON source IS NOT DISTINCT FROM key)
 SELECT doc_id, size, source_size, target, CAST(copies AS BIGINT) AS copies, CAST(size * copies AS BIGINT) AS taken FROM copied
 """
