@@ -10,7 +10,8 @@ STRETCH on one of them, so parts of long items count as well.
 
 Windows are made and hashed inside one generated loop over a document's word array and looked up in
 the benchmark's hashes there; only hits leave it. The benchmark side is broadcast up to
-BROADCAST_SEEDS rows and joined by a shuffle on the hash beyond that.
+BROADCAST_SEEDS rows. A larger one is cut by hash into parts of that size, each broadcast in a pass of
+its own over the documents, and only hits meet its rows by a shuffle; windows are never shuffled.
 
 Defined cases: items of five to seven words are matched by runs of five words; items with fewer
 words, null or empty items never match; rows that repeat an item_id with another text are items of
@@ -21,10 +22,12 @@ ignored. Empty tables give no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from probestack.llm.shared import read_table, scratch
+from probestack.llm.shared import read_table, scratch, small_side
 
 #: Two masks of weight 5 over 8 words, for items of 8 words and more; runs of five for shorter ones.
 MASKS = ("11011001", "10010111")
@@ -54,6 +57,23 @@ def _windows(rows: DataFrame, keep: list[str], masks: list[tuple[int, str]]) ->
     return placed.select(*keep, "words", "at", F.explode(F.array(*[_seed(F.col("words"), F.col("at"), m, n) for n, m in masks])).alias("seed"))
 
 
+def _hits(bodies: DataFrame, seeds: DataFrame, masks: list[tuple[int, str]]) -> DataFrame:
+    """doc_id, item_id, item_key, n_item_words, start and the document's words that lie along the item, per hit."""
+    windows, n = _windows(bodies, ["doc_id"], masks), seeds.count()
+    start = F.col("at") - F.col("item_at")
+    if n <= BROADCAST_SEEDS:
+        found = windows.join(F.broadcast(seeds), "seed").withColumn("base", F.lit(0)).withColumnRenamed("words", "around")
+    else:
+        longest = seeds.agg(F.max("n_item_words")).first()[0]
+        passes = -(-n // BROADCAST_SEEDS)
+        parts = [windows.join(F.broadcast(seeds.where(F.pmod("seed", F.lit(passes)) == k).select("seed").distinct()), "seed", "left_semi") for k in range(passes)]
+        base = F.greatest(F.col("at") - longest, F.lit(0))
+        near = reduce(DataFrame.unionAll, parts).select("doc_id", "at", "seed", base.alias("base"), F.slice("words", base + 1, 2 * longest).alias("around"))
+        found = near.join(seeds, "seed")
+    part = F.slice("around", F.greatest(start, F.lit(0)) - F.col("base") + 1, F.col("n_item_words") + F.least(start, F.lit(0)))
+    return found.select("doc_id", "item_id", "item_key", "n_item_words", start.alias("start"), part.alias("part"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_overlap: float = MIN_OVERLAP, dense: int = DENSE, stretch: int = STRETCH) -> DataFrame:
     """doc_id, item_id, n_matched, n_dense, n_item_words, overlap of documents that hold an item or a dense part of it."""
     items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") >= MIN_WORDS).distinct()
@@ -65,20 +85,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_overlap: float = MIN
     for masks, group in groups:
         seeds = _windows(group.withColumn("n_item_words", F.size("words")), ["item_id", "item_key", "n_item_words"], masks)
         seeds = scratch(seeds.select("item_id", "item_key", "n_item_words", F.col("at").alias("item_at"), "seed").distinct(), "seeds")
-        n = seeds.limit(BROADCAST_SEEDS + 1).count()
-        if not n:
+        if seeds.isEmpty():
             continue
-        side = F.broadcast(seeds) if n <= BROADCAST_SEEDS else seeds
-        found = _windows(bodies, ["doc_id"], masks).join(side, "seed")
-        start = F.col("at") - F.col("item_at")
-        part = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("n_item_words") + F.least(start, F.lit(0)))
-        found = found.select("doc_id", "item_id", "item_key", "n_item_words", start.alias("start"), part.alias("part"))
+        found = _hits(bodies, seeds, masks)
         hits = found if hits is None else hits.unionAll(found)
     if hits is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_matched long, n_dense long, n_item_words long, overlap double").limit(0)
     lines = hits.groupBy("doc_id", "item_id", "item_key", "n_item_words", "start", "part").agg(F.lit(1).alias("one"))
     whole = items.select("item_key", F.col("item_id").alias("own_id"), F.col("words").alias("item"))
-    whole = F.broadcast(whole) if whole.limit(BROADCAST_SEEDS // 20 + 1).count() <= BROADCAST_SEEDS // 20 else whole
+    whole = small_side(whole, BROADCAST_SEEDS // 20)
     lines = lines.join(whole, [lines["item_key"] == whole["item_key"], lines["item_id"].eqNullSafe(whole["own_id"])]).drop(whole["item_key"])
     # Place i of the item lies at start + i of the document: at index i, or i + start where start < 0, of part.
     lead = F.least(F.col("start"), F.lit(0))

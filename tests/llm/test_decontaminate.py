@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from probestack.llm import decontaminate
 from probestack.llm.decontaminate import contaminated
 
 rnd = random.Random(2)
@@ -16,7 +19,9 @@ def run(spark, docs, items):
     return {(r.doc_id, r.item_id): (r.n_matched, r.n_item_words) for r in contaminated(d, b).collect()}
 
 
-def test_substitutions_insertions_and_clean_texts(spark):
+@pytest.mark.parametrize("most", [1_000_000, 9])  # with 9, the benchmark is cut into several broadcasts
+def test_substitutions_insertions_and_clean_texts(spark, monkeypatch, most):
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", most)
     exact = noise(50) + ITEM + noise(50)
     changed = list(ITEM)
     for i in (3, 9, 14, 21, 27):
