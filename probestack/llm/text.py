@@ -121,10 +121,16 @@ def split_words(column: pa.Array, table: np.ndarray) -> Words:
     ends = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1
     first = np.searchsorted(starts, offsets)
     counts = np.diff(first)
-    up, down = _power_tables(n + 1)
-    prefix = np.zeros(n + 1, U)
-    np.cumsum(_BYTE[low] * up[:n], out=prefix[1:])
-    hashes = mix((prefix[ends] - prefix[starts]) * down[starts])
+    hashes, at = np.empty(len(starts), U), 0
+    while at < len(starts):  # in blocks, so that a very long text takes little more room than a short one
+        end = max(at + 1, int(np.searchsorted(ends, starts[at] + SLICE_BYTES, side="right")))
+        head = starts[at]
+        block = low[head : ends[end - 1]]
+        up, down = _power_tables(len(block) + 1)
+        prefix = np.zeros(len(block) + 1, U)
+        np.cumsum(_BYTE[block] * up[: len(block)], out=prefix[1:])
+        hashes[at:end] = mix((prefix[ends[at:end] - head] - prefix[starts[at:end] - head]) * down[starts[at:end] - head])
+        at = end
     return Words(n_docs, counts, first, np.repeat(np.arange(n_docs), counts), hashes, starts, ends)
 
 
