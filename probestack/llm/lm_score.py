@@ -44,7 +44,7 @@ SAMPLE = 20_000
 FREQUENT = 100_000
 #: Text per bucket of the counts; text that one task aggregates before it hands counts on.
 BUCKET_BYTES = 8 << 20
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 6 << 20
 END, START = U(0x0E4D0E4D0E4D0E4D), U(0x57A2757A2757A275)
 _LEFT, _RIGHT = U(0x9E6C63D0876A9A47), U(0xC13FA9A902A6328F)
 
@@ -165,6 +165,7 @@ def middle_of(levels: np.ndarray) -> np.ndarray:
 
 
 _HALF = U(0xFFFFFFFF)
+_BIT = np.left_shift(np.uint8(1), np.arange(8, dtype=np.uint8))
 
 
 def _event(prints: np.ndarray, order: int, level: int) -> np.ndarray:
@@ -250,8 +251,8 @@ class Model:
             for probes in (range(1), range(1, 3), range(3, PROBES)):
                 present = np.ones(len(live), bool)
                 for i in probes:
-                    place = _place(event, i, bits) + offset
-                    present &= ((self.field[place >> U(3)] >> (place & U(7)).astype(np.uint8)) & np.uint8(1)).view(bool)
+                    place = (_place(event, i, bits) + offset).view(np.int64)
+                    present &= (self.field.take(place >> 3) & _BIT.take(place & 7)) != 0
                 live, event, bits, offset = live[present], event[present], bits[present], offset[present]
             prints = print_of(keys[live])
             out[live] = level
@@ -266,8 +267,12 @@ class Model:
         context = np.empty_like(count)
         context[1:] = count[:-1]
         context[first] = float(self.texts)
-        pairs, again = np.unique(bigrams(tokens), return_inverse=True)
-        pair = np.minimum(middle_of(self.levels(pairs, 2))[again], np.minimum(context, count))
+        # A stored bigram occurs MIN_BIGRAM times, and so do its words: no other is probed.
+        likely = (count >= MIN_BIGRAM) & (context >= MIN_BIGRAM)
+        pairs, again = np.unique(bigrams(tokens)[likely], return_inverse=True)
+        pair = np.zeros(len(count))
+        pair[likely] = middle_of(self.levels(pairs, 2))[again]
+        pair = np.minimum(pair, np.minimum(context, count))
         single = np.minimum((count + 1.0) / self.whole, 1.0)
         return np.log10((pair + PRIOR * single) / (context + PRIOR))
 
