@@ -7,6 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from probestack.operators.stats import running_min
+
 
 def hash_order(seed: str, *ids: str) -> list[Column]:
     key = F.concat_ws("-", F.lit(seed), *[F.col(c).cast("string") for c in ids])
@@ -57,10 +59,8 @@ def shrinking_quotas(counts: DataFrame, least: int, most: int, order: list[Colum
     is observable); quota is drawn between them. For quotas that don't influence one another give
     low and high by `independent_quotas`. counts has one row per token type.
     """
-    along = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    low = F.least(F.lit(least), F.min("cnt").over(along))
-    high = F.least(F.lit(most), F.min("cnt").over(along))
-    return _drawn(counts.withColumn("low", low).withColumn("high", high), seed)
+    met = running_min(counts, order, "cnt", "_met")
+    return _drawn(met.withColumn("low", F.least(F.lit(least), "_met")).withColumn("high", F.least(F.lit(most), "_met")).drop("_met"), seed)
 
 
 def independent_quotas(counts: DataFrame, least: int, most: int, seed: str = "0") -> DataFrame:

@@ -67,18 +67,36 @@ def covariance(df: DataFrame, vec: str = "vec", keys: list[str] | None = None) -
     return sums.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*")
 
 
+def _ranged(df: DataFrame, order: list[Column], partitions: int | None) -> DataFrame:
+    """df dealt by ranges of order, numbered in _range. The ranges follow from the data, so a repeated read deals alike."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
+
+
+def _carried(ranged: DataFrame, total: Column, carry) -> DataFrame:
+    """_range and _before: what the ranges before each one come to; one row per range."""
+    sums = ranged.groupBy("_range").agg(total.alias("_total"))
+    return F.broadcast(sums.select("_range", carry("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_before")))
+
+
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank", partitions: int | None = None) -> DataFrame:
     """Row numbers from 1 over the whole table without gathering it in one task.
 
     Rows are dealt by range and numbered within each range; the ranges' sizes give the offsets. order
     must end in a unique key.
     """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
-    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    ranged = _ranged(df, order, partitions)
     within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return ranged.withColumn("_within", within).join(F.broadcast(offsets), "_range").withColumn(name, F.col("_before") + F.col("_within")).drop("_range", "_within", "_before")
+    numbered = ranged.withColumn("_within", within).join(_carried(ranged, F.count("*"), F.sum), "_range")
+    return numbered.withColumn(name, F.coalesce("_before", F.lit(0)) + F.col("_within")).drop("_range", "_within", "_before")
+
+
+def running_min(df: DataFrame, order: list[Column], value: str, name: str, partitions: int | None = None) -> DataFrame:
+    """The smallest value up to each row in order, over the whole table, dealt by range as in global_rank."""
+    ranged = _ranged(df, order, partitions)
+    within = F.min(value).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    numbered = ranged.withColumn("_within", within).join(_carried(ranged, F.min(value), F.min), "_range")
+    return numbered.withColumn(name, F.least("_before", "_within")).drop("_range", "_within", "_before")
 
 
 def best_by(df: DataFrame, keys: list[str], score: str, ties: list[str]) -> DataFrame:
