@@ -45,6 +45,7 @@ FREQUENT = 100_000
 #: Text per bucket of the counts; text that one task aggregates before it hands counts on.
 BUCKET_BYTES = 8 << 20
 GROUP_BYTES = 6 << 20
+GROUP_ENTRIES = 200_000
 END, START = U(0x0E4D0E4D0E4D0E4D), U(0x57A2757A2757A275)
 _LEFT, _RIGHT = U(0x9E6C63D0876A9A47), U(0xC13FA9A902A6328F)
 
@@ -344,8 +345,13 @@ def _rare(model):
     """(token, text, count) of the tokens that are not frequent, as blobs; a held-out text's counts are negative."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        for batch in bounded(batches, "text", GROUP_BYTES // 2):
+        m, held, size = model.value, [], 0
+
+        def flush() -> pa.RecordBatch:
+            token, key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            return _blobs(0, m.buckets, bucket_of(token, m.buckets), token, key, n)
+
+        for batch in bounded(batches, "text"):
             tokens = tokens_of(batch.column("text"))
             rare = ~m.exact(tokens.token)[1]
             token, doc = tokens.token[rare], tokens.doc[rare]
@@ -358,7 +364,13 @@ def _rare(model):
             token, doc = token[starts], doc[starts]
             key = batch.column("key").to_numpy()[doc]
             n = np.where(batch.column("held_out").to_numpy(zero_copy_only=False)[doc], -n, n).astype(np.int32)
-            yield _blobs(0, m.buckets, bucket_of(token, m.buckets), token, key, n)
+            held.append((token, key, n))
+            size += len(token)
+            if size >= GROUP_ENTRIES:
+                yield flush()
+                held, size = [], 0
+        if held:
+            yield flush()
 
     return run
 
