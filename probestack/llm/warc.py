@@ -3,7 +3,8 @@
 Writer. Each page becomes a WARC/1.1 record in its own gzip member. Of records with equal payloads of
 at least `least` bytes, that with the largest page_id is a response and the others are revisits that
 refer to it; smaller payloads are all responses. Archives are rolled at ROLL_BYTES, written under a
-temporary name and renamed, so a task that runs again replaces whole files only.
+temporary name and renamed; names hold the task's attempt, and the table of paths lists those of the
+attempts that were committed, so a task that runs again or twice never touches another's files.
 
 Reader. It streams an archive in blocks, checks each member (gzip, version line, length, digests) and
 on a failed check searches for the next place from which a valid member or version line can be read,
@@ -248,7 +249,7 @@ def salvage(stream: BinaryIO, most: int = 1 << 30) -> Iterator[Record | Gap]:
 def _writer(folder: str, roll: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get()
-        name, part, out, size, temp = f"{folder}/part-{task.partitionId():06d}", 0, None, 0, ""
+        name, part, out, size, temp = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}", 0, None, 0, ""
 
         def close() -> str:
             out.close()
@@ -258,7 +259,7 @@ def _writer(folder: str, roll: int):
         for pdf in batches:
             for page_id, url, html, digest, kind, refers in pdf.itertuples(index=False, name=None):
                 if out is None:
-                    temp = f"{name}-{part:04d}.{task.taskAttemptId()}.tmp"
+                    temp = f"{name}-{part:04d}.tmp"
                     out, size = open_file(temp, "wb"), 0
                 member = gzip_member(record_bytes(kind, None if pd.isna(page_id) else int(page_id), url, (html or "").encode("utf-8", "surrogatepass"), digest, None if pd.isna(refers) else int(refers)))
                 out.write(member)
