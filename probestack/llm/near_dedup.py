@@ -164,8 +164,9 @@ def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     return scratch(near.select("a", "b").distinct(), "links")
 
 
-#: Members of a bucket that a task holds of either side, and elements whose occurrences it multiplies at once.
+#: Members of a bucket, and words of theirs, that a task holds of either side; elements whose occurrences it multiplies at once.
 CHUNK = 1024
+CHUNK_WORDS = 1 << 20
 COLUMNS = 4096
 
 
@@ -223,12 +224,13 @@ def _meet(threshold: float):
 
 
 def _met(mine: DataFrame, docs: DataFrame, width: int, threshold: float, chunk: int) -> DataFrame | None:
-    """Links between components that share a bucket, for mine (bucket, id, component); None if no bucket has two."""
-    parts = mine.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    most = F.max(F.struct("n", "component"))
-    mixed = parts.groupBy("bucket").agg(most["component"].alias("major"), most["n"].alias("inside"), F.sum("n").alias("all"), F.count("*").alias("parts")).where("parts > 1")
-    cut = lambda n: F.ceil(n / chunk).cast("int")
-    mixed = mixed.select("bucket", "major", cut(F.col("inside")).alias("k_in"), cut(F.col("all") - F.col("inside")).alias("k_out"))
+    """Links between components that share a bucket, for mine (bucket, id, component, n_words); None if no bucket has two."""
+    parts = mine.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("n_words").alias("w"))
+    most = F.max(F.struct("n", "component", "w"))
+    mixed = parts.groupBy("bucket").agg(most.alias("most"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count("*").alias("parts")).where("parts > 1")
+    cut = lambda n, w: F.greatest(F.ceil(n / chunk), F.ceil(w / CHUNK_WORDS)).cast("int")
+    inside, outside = cut(F.col("most.n"), F.col("most.w")), cut(F.col("n") - F.col("most.n"), F.col("w") - F.col("most.w"))
+    mixed = mixed.select("bucket", F.col("most.component").alias("major"), inside.alias("k_in"), outside.alias("k_out"))
     rows = mine.join(mixed.hint("merge"), "bucket").withColumn("outer", F.col("component") != F.col("major"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.when(F.col("outer"), F.col("k_out")).otherwise(F.col("k_in"))).cast("int"))
     upto = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
@@ -252,16 +254,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     docs = docs.select("doc_id", "text")
     signed = scratch(docs.mapInArrow(_sign(width, bands, rows), "doc_id long, n_words long, d1 long, d2 long, bands array<long>"), "signed")
     worded = signed.where("doc_id is not null and n_words > 0")
-    first = scratch(worded.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "first")
-    buckets = first.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
+    first = scratch(worded.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_words").alias("n_words")), "first")
+    buckets = first.select(F.col("rep").alias("id"), "n_words", F.explode("bands").alias("bucket"))
     full = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("bucket", "id").alias("by"), "id"))["id"].alias("centre")).where("n > 1")
-    held = scratch(buckets.join(full.hint("merge"), "bucket").select("bucket", "id", "centre"), "buckets")
+    held = scratch(buckets.join(full.hint("merge"), "bucket").select("bucket", "id", "centre", "n_words"), "buckets")
     star = scratch(held.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "star")
     bags = _bags(star.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, width)
     links = _verified(star, bags, threshold)
     discard(bags)
     classes = components(links)
-    mine = held.join(classes.hint("merge"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    mine = held.join(classes.hint("merge"), "id", "left").select("bucket", "id", "n_words", F.coalesce("component", "id").alias("component"))
     more = _met(mine, docs, width, threshold, chunk)
     if more is not None:
         classes = components(links.unionAll(more))
