@@ -6,8 +6,10 @@ quantised to level 1 + floor(log2 c); the filter holds the events (n-gram, 1) ..
 query probes levels until one is missing and reads the count as the middle of the last level's range.
 With those counts, P(w) = (c(w) + 1) / (N + V + 1) and P(w | v) = (c(v w) + PRIOR P(w)) / (c(v) + PRIOR);
 `score` is the sum of log10 P(w | v). The filter is made of one segment per hash bucket, each filled by
-the task that sums the bucket's counts; segments grow with their events up to MAX_FILTER_BYTES in all
-(what is broadcast is bounded by that), beyond which a segment leaves out its rarest level.
+the task that sums the bucket's counts; segments grow with their events, and no event is left out at
+any size. The filter is never gathered: texts are put in chunks (written once, so that their numbers
+stand), each chunk sends its distinct n-grams to the buckets, the task that has filled a bucket's
+segment probes them there, and the levels go back to the chunk by its number.
 
 `base_score` needs exact counts. Tokens that are frequent in a bounded sample are looked up in a small
 broadcast table of their exact counts; the others meet their counts in a shuffle by token. The sample
@@ -21,18 +23,20 @@ are compared by 64-bit hashes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probestack.llm.shared import held_out, read_table
+from probestack.llm.shared import held_out, read_table, scratch
 from probestack.llm.text import BLANK, U, bounded, mix, split_words
 
-MAX_FILTER_BYTES = 64 << 20
 PROBES = 6
 #: Bits of an event: PROBES / ln 2.
 EVENT_BITS = 8.66
@@ -46,6 +50,8 @@ FREQUENT = 100_000
 BUCKET_BYTES = 8 << 20
 GROUP_BYTES = 6 << 20
 GROUP_ENTRIES = 200_000
+#: Text of a chunk, whose distinct n-grams are probed together.
+CHUNK_BYTES = 4 << 20
 END, START = U(0x0E4D0E4D0E4D0E4D), U(0x57A2757A2757A275)
 _LEFT, _RIGHT = U(0x9E6C63D0876A9A47), U(0xC13FA9A902A6328F)
 
@@ -178,8 +184,8 @@ def _place(event: np.ndarray, i: int, bits: np.ndarray | np.uint64) -> np.ndarra
     return ((((event >> U(32)) + U(i) * (event | U(1))) & _HALF) * bits) >> U(32)
 
 
-def segment(parts: list[tuple[int, np.ndarray, np.ndarray]], most_bits: int) -> bytes:
-    """Filter segment of (order, prints, levels): all events, or without the rarest levels beyond most_bits."""
+def segment(parts: list[tuple[int, np.ndarray, np.ndarray]], most_bits: float = math.inf) -> bytes:
+    """Filter segment of (order, prints, levels): all events; a bound, which the operator never sets, leaves out the rarest levels beyond it."""
     least = 1
     while True:
         kept = [(o, p[q >= least], q[q >= least]) for o, p, q in parts]
@@ -197,32 +203,89 @@ def segment(parts: list[tuple[int, np.ndarray, np.ndarray]], most_bits: int) ->
     return np.packbits(field, bitorder="little").tobytes()
 
 
-def _fill(frequent, most_bits: int):
-    """Sum a bucket's counts and fill its segment."""
+CHUNK_SCHEMA = "chunk long, texts binary"
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in chunks of about CHUNK_BYTES of text: a number and the rows as one compressed stream."""
+    number = TaskContext.get().partitionId() << 32
+    held, size = [], 0
+
+    def pack() -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            for batch in held:
+                out.write_batch(batch)
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "texts"])
+
+    for batch in bounded(batches, "text", CHUNK_BYTES):
+        held.append(batch)
+        size += int(pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0)
+        if size >= CHUNK_BYTES:
+            yield pack()
+            held, size, number = [], 0, number + 1
+    if held:
+        yield pack()
+
+
+def _unpack(texts: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(texts).read_all().combine_chunks().to_batches()[0]
+
+
+PROBE_SCHEMA = "chunk long, kind int, bucket int, n int, entries binary"
+
+
+def _probes(buckets: int):
+    """Distinct n-grams of each chunk, as blobs: kind 3 unigrams, 4 bigrams (32 bits)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, texts in zip(batch.column("chunk").to_pylist(), batch.column("texts"), strict=True):
+                tokens = tokens_of(_unpack(texts.as_buffer()).column("text"))
+                for kind, keys in ((3, _summed(tokens.token)[0]), (4, _summed(bigrams(tokens))[0])):
+                    blobs = _blobs(kind, buckets, bucket_of(keys, buckets), print_of(keys))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(blobs.num_rows, chunk)), *blobs.columns], names=["chunk", *blobs.schema.names])
+
+    return run
+
+
+#: Per bucket a row without chunk, with the bucket's totals, and for each chunk and order of n-grams a row of levels.
+FILLED_SCHEMA = "bucket int, chunk long, kind int, levels binary, tokens long, types long, hot binary"
+
+
+def _fill(frequent, buckets: int):
+    """Sum a bucket's counts, fill its segment and answer the probes that the chunks sent to it."""
 
     def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
         keys, counts = _summed(*_entries(table, 0, U, np.int64))
         prints, n = _entries(table, 1, np.uint32, np.uint8)
         more, wide = _entries(table, 2, np.uint32, np.int64)
         pairs, n = _summed(np.concatenate([prints, more]), np.concatenate([n.astype(np.int64), wide]))
         pairs, n = pairs[n >= MIN_BIGRAM], n[n >= MIN_BIGRAM]
-        bits = segment([(1, print_of(keys), levels_of(counts)), (2, pairs, levels_of(n))], most_bits)
+        bits = segment([(1, print_of(keys), levels_of(counts)), (2, pairs, levels_of(n))])
+        own = Model([{"bucket": bucket, "bits": bits, "tokens": 0, "types": 0, "hot": b""}], buckets, 0)
         hot = np.isin(keys, frequent.value, assume_unique=True)
-        return pa.table(
-            {
-                "bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()),
-                "bits": pa.array([bits], pa.binary()),
-                "tokens": pa.array([int(counts.sum())]),
-                "types": pa.array([len(keys)]),
-                "hot": pa.array([keys[hot].tobytes() + counts[hot].tobytes()], pa.binary()),
-            }
-        )
+        rows = [(bucket, None, None, None, int(counts.sum()), len(keys), keys[hot].tobytes() + counts[hot].tobytes())]
+        for kind, order in ((3, 1), (4, 2)):
+            probes = table.filter(pc.equal(table.column("kind"), kind))
+            (prints,) = _entries(probes, kind, np.uint32)
+            levels, at = own.levels(prints.astype(U) << U(32) | U(bucket), order).astype(np.uint8), 0
+            for chunk, n in zip(probes.column("chunk").to_pylist(), probes.column("n").to_pylist(), strict=True):
+                rows.append((bucket, chunk, kind, levels[at : at + n].tobytes(), None, None, None))
+                at += n
+        types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in FILLED_SCHEMA.split(", ")])
 
     return run
 
 
 class Model:
-    """The filter, exact counts of frequent tokens and the totals; its size is bounded by MAX_FILTER_BYTES and FREQUENT."""
+    """Segments, exact counts of frequent tokens and the totals.
+
+    The task of a bucket makes one with its segment to probe it; the one that is broadcast has no
+    segments, so that its size is bounded by FREQUENT.
+    """
 
     def __init__(self, rows: list, buckets: int, texts: int):
         self.buckets, self.texts = buckets, texts
@@ -260,19 +323,18 @@ class Model:
             level += 1
         return out
 
-    def log_probabilities(self, tokens: Tokens) -> np.ndarray:
-        """log10 P(token | token before) of each token."""
+    def log_probabilities(self, tokens: Tokens, answers: pa.Table) -> np.ndarray:
+        """log10 P(token | token before) of each token of a chunk, by the levels found for its n-grams."""
         kinds, inverse = np.unique(tokens.token, return_inverse=True)
-        count = middle_of(self.levels(kinds, 1))[inverse]
+        count = middle_of(_in_order(answers, 3, kinds, self.buckets))[inverse]
         first = tokens.before == START
         context = np.empty_like(count)
         context[1:] = count[:-1]
         context[first] = float(self.texts)
-        # A stored bigram occurs MIN_BIGRAM times, and so do its words: no other is probed.
+        # A stored bigram occurs MIN_BIGRAM times, and so do its words: any other that was found is a false one.
         likely = (count >= MIN_BIGRAM) & (context >= MIN_BIGRAM)
-        pairs, again = np.unique(bigrams(tokens)[likely], return_inverse=True)
-        pair = np.zeros(len(count))
-        pair[likely] = middle_of(self.levels(pairs, 2))[again]
+        pairs, again = np.unique(bigrams(tokens), return_inverse=True)
+        pair = np.where(likely, middle_of(_in_order(answers, 4, pairs, self.buckets))[again], 0.0)
         pair = np.minimum(pair, np.minimum(context, count))
         single = np.minimum((count + 1.0) / self.whole, 1.0)
         return np.log10((pair + PRIOR * single) / (context + PRIOR))
@@ -286,12 +348,25 @@ class Model:
         return np.where(found, self.hot_counts[at], 0), found
 
 
-def fit(training: DataFrame, frequent: np.ndarray, buckets: int, max_bytes: int = MAX_FILTER_BYTES) -> Model:
-    spark = training.sparkSession
-    hot = spark.sparkContext.broadcast(np.sort(frequent))
-    blobs = training.select("text").mapInArrow(_count(buckets), BLOB_SCHEMA)
-    rows = blobs.groupBy("bucket").applyInArrow(_fill(hot, max_bytes * 8 // buckets), "bucket int, bits binary, tokens long, types long, hot binary").collect()
-    return Model(rows, buckets, training.count())
+def _in_order(answers: pa.Table, kind: int, keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Levels of a chunk's sorted distinct keys, from the answers of the buckets."""
+    mine = answers.filter(pc.equal(answers.column("kind"), kind)).sort_by("bucket")
+    found = np.frombuffer(b"".join(mine.column("levels").to_pylist()), np.uint8)
+    if len(found) != len(keys):
+        raise RuntimeError(f"{len(found)} levels for {len(keys)} n-grams")
+    out = np.zeros(len(keys), np.int64)
+    out[np.argsort(bucket_of(keys, buckets), kind="stable")] = found
+    return out
+
+
+def fit(training: DataFrame, chunks: DataFrame, frequent: np.ndarray, buckets: int) -> tuple[Model, DataFrame]:
+    """The totals and exact counts of frequent tokens, and a table of the levels of the chunks' n-grams."""
+    hot = training.sparkSession.sparkContext.broadcast(np.sort(frequent))
+    counts = training.select("text").mapInArrow(_count(buckets), BLOB_SCHEMA).select(F.lit(None).cast("long").alias("chunk"), "*")
+    probes = chunks.mapInArrow(_probes(buckets), PROBE_SCHEMA)
+    filled = scratch(counts.unionAll(probes).groupBy("bucket").applyInArrow(_fill(hot, buckets), FILLED_SCHEMA), "levels")
+    rows = filled.where("chunk is null").select("bucket", F.lit(b"").alias("bits"), "tokens", "types", "hot").collect()
+    return Model(rows, buckets, training.count()), filled.where("chunk is not null").select("chunk", "bucket", "kind", "levels")
 
 
 def frequent_tokens(docs: DataFrame, sample: int = SAMPLE, most: int = FREQUENT) -> np.ndarray:
@@ -318,25 +393,24 @@ def _in_texts(tokens: Tokens) -> np.ndarray:
 
 
 def _score(model):
-    """Per text what needs no shuffle: the model's score and the frequent tokens' part of base_score."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        for batch in bounded(batches, "text"):
-            tokens = tokens_of(batch.column("text"))
-            starts = np.cumsum(tokens.counts) - tokens.counts
-            count, hot = m.exact(tokens.token)
-            columns = [
-                tokens.counts.astype(np.int64),
-                np.add.reduceat((count > 0).astype(np.int64), starts),
-                np.add.reduceat(np.log10(count + 1.0) * hot, starts),
-                np.add.reduceat((~hot).astype(np.int64), starts),
-                np.add.reduceat(m.log_probabilities(tokens), starts),
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("doc_id"), batch.column("held_out"), *map(pa.array, columns)],
-                names=["key", "doc_id", "held_out", "n_tokens", "hot_known", "hot_sum", "n_rare", "score"],
-            )
+    """Per text of a chunk the model's score and the frequent tokens' part of base_score."""
+
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        m, batch = model.value, _unpack(chunk.column("texts")[0].as_buffer())
+        tokens = tokens_of(batch.column("text"))
+        starts = np.cumsum(tokens.counts) - tokens.counts
+        count, hot = m.exact(tokens.token)
+        columns = [
+            tokens.counts.astype(np.int64),
+            np.add.reduceat((count > 0).astype(np.int64), starts),
+            np.add.reduceat(np.log10(count + 1.0) * hot, starts),
+            np.add.reduceat((~hot).astype(np.int64), starts),
+            np.add.reduceat(m.log_probabilities(tokens, answers), starts),
+        ]
+        return pa.table(
+            [batch.column("key"), batch.column("doc_id"), batch.column("held_out"), *map(pa.array, columns)],
+            names=["key", "doc_id", "held_out", "n_tokens", "hot_known", "hot_sum", "n_rare", "score"],
+        )
 
     return run
 
@@ -390,16 +464,18 @@ def _lookup(table: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array(key[starts]), "rare": add(n), "rare_known": add(n * (count > 0)), "rare_sum": add(n * np.log10(count + 1.0))})
 
 
-def score_texts(docs: DataFrame, max_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame) -> DataFrame:
     """Score docs (doc_id, text, held_out) with a model of those not held out; a row per row of docs."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "held_out")
     docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    model = spark.sparkContext.broadcast(fit(docs.where("not held_out"), frequent_tokens(docs), buckets, max_bytes))
-    whole = model.value.whole
-    near = docs.select("key", "doc_id", "held_out", "text").mapInArrow(_score(model), "key long, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_sum double, n_rare long, score double")
+    chunks = scratch(docs.select("key", "doc_id", "held_out", "text").mapInArrow(_chunks, CHUNK_SCHEMA), "chunks")
+    fitted, levels = fit(docs.where("not held_out"), chunks, frequent_tokens(docs), buckets)
+    model = spark.sparkContext.broadcast(fitted)
+    whole = fitted.whole
+    near = chunks.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(_score(model), "key long, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_sum double, n_rare long, score double")
     blobs = docs.select("key", "held_out", "text").mapInArrow(_rare(model), BLOB_SCHEMA)
     far = blobs.groupBy("bucket").applyInArrow(_lookup, "key long, rare long, rare_known long, rare_sum double")
     far = far.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("rare", "rare_known", "rare_sum")])
@@ -408,7 +484,7 @@ def score_texts(docs: DataFrame, max_bytes: int = MAX_FILTER_BYTES) -> DataFrame
     both = near.join(far, "key", "left").withColumn("rows", rows)
     known = F.col("hot_known") + F.coalesce(F.round(F.col("rare_known") / F.col("rows")).cast("long"), F.lit(0))
     base = F.col("hot_sum") + F.coalesce(F.col("rare_sum") / F.col("rows"), F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(whole)))
-    return both.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(model.value.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return both.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(fitted.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
