@@ -40,8 +40,6 @@ from probestack.llm.text import BLANK, U, bounded, mix, split_words
 PROBES = 6
 #: Bits of an event: PROBES / ln 2.
 EVENT_BITS = 8.66
-#: Bigrams that occur less often are not stored.
-MIN_BIGRAM = 2
 PRIOR = 30.0
 #: The bounded sample, and the most tokens that are called frequent after it.
 SAMPLE = 20_000
@@ -262,7 +260,6 @@ def _fill(frequent, buckets: int):
         prints, n = _entries(table, 1, np.uint32, np.uint8)
         more, wide = _entries(table, 2, np.uint32, np.int64)
         pairs, n = _summed(np.concatenate([prints, more]), np.concatenate([n.astype(np.int64), wide]))
-        pairs, n = pairs[n >= MIN_BIGRAM], n[n >= MIN_BIGRAM]
         bits = segment([(1, print_of(keys), levels_of(counts)), (2, pairs, levels_of(n))])
         own = Model([{"bucket": bucket, "bits": bits, "tokens": 0, "types": 0, "hot": b""}], buckets, 0)
         hot = np.isin(keys, frequent.value, assume_unique=True)
@@ -331,8 +328,8 @@ class Model:
         context = np.empty_like(count)
         context[1:] = count[:-1]
         context[first] = float(self.texts)
-        # A stored bigram occurs MIN_BIGRAM times, and so do its words: any other that was found is a false one.
-        likely = (count >= MIN_BIGRAM) & (context >= MIN_BIGRAM)
+        # The words of a bigram that occurs do so as well: any other that was found is a false one.
+        likely = (count >= 1) & (context >= 1)
         pairs, again = np.unique(bigrams(tokens), return_inverse=True)
         pair = np.where(likely, middle_of(_in_order(answers, 4, pairs, self.buckets))[again], 0.0)
         pair = np.minimum(pair, np.minimum(context, count))

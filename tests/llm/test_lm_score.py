@@ -93,8 +93,8 @@ def test_tokens():
     assert t.before[0] == t.before[3] == t.before[4] == lm_score.START and t.before[1] == t.token[0]
 
 
-def quantised_scores(rows, least):
-    """Scores by exact counts, quantised as the filter does; bigrams from a count of least."""
+def quantised_scores(rows):
+    """Scores by exact counts, quantised as the filter does."""
     quantised = lambda c: float(middle_of(levels_of(np.array([c])))[0])
     ones, twos = Counter(), Counter()
     for _, text, held in rows:
@@ -108,7 +108,7 @@ def quantised_scores(rows, least):
         words, total = tokens(text), 0.0
         for v, w in zip(["start", *words], words, strict=False):
             context, count = texts if v == "start" else quantised(ones[v]), quantised(ones[w])
-            pair = min(quantised(twos[v, w]), context, count) if twos[v, w] >= least else 0.0
+            pair = min(quantised(twos[v, w]), context, count)
             total += math.log10((pair + lm_score.PRIOR * (count + 1) / whole) / (context + lm_score.PRIOR))
         out[i or 0] = total
     return out
@@ -119,6 +119,16 @@ def test_scores_keep_every_event_whatever_the_bytes(spark, monkeypatch):
     monkeypatch.setattr(score_texts, "__defaults__", tuple(400 for _ in score_texts.__defaults__ or ()) or None)  # a bound on the filter, if it has one
     monkeypatch.setattr(lm_score, "CHUNK_BYTES", 2_000, raising=False)
     got = {(r.doc_id or 0): r.score for r in score_texts(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA).repartition(3)).collect()}
-    want = quantised_scores(rows, lm_score.MIN_BIGRAM)
+    want = quantised_scores(rows)
     near = [abs(got[i] - want[i]) <= 0.03 * abs(want[i]) + 0.3 for i in want]  # false positives of the filter may raise a few
     assert sum(near) >= 0.95 * len(near)
+
+
+def test_bigrams_that_occur_once_are_held(spark):
+    train = [(i, f"left{i} right{i}", False) for i in range(40)]
+    held = [(100 + i, f"left{i} right{i}", True) for i in range(40)]
+    rows = train + held + [(200 + i, f"left{i} right{(i + 1) % 40}", True) for i in range(40)]
+    got = {r.doc_id: r.score for r in score_texts(spark.createDataFrame([(*r, "x") for r in rows], SCHEMA)).collect()}
+    want = quantised_scores(rows)
+    assert sum(abs(got[i] - want[i]) < 1e-9 for i in want) >= 0.9 * len(want)
+    assert sum(got[100 + i] > got[200 + i] + 0.1 for i in range(40)) >= 36
