@@ -8,7 +8,7 @@ its characters over its tags, 0 for boilerplate. Ratios are smoothed by a Gaussi
 lines and split by the two-means threshold of their logarithms; lines above it are seeds.
 
 The content region is the set of elements that hold the seeds: every article or main element that
-has one, or else the innermost element that holds most of the seeds' text. All lines inside the
+has one, or else the innermost element that holds all seeds, text elements (p, ul, pre, ...) aside. All lines inside the
 region that are not boilerplate are returned, so short paragraphs between long ones stay; without an
 article, lines that are mostly links are left out.
 
@@ -57,6 +57,7 @@ ENDS_P = frozenset(
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "head": {"body"}}
 SIGMA = 1.5
 _SPLIT = re.compile(r"[^a-zA-Z0-9]+|(?<=[a-z])(?=[A-Z])")
+_JOINED = re.compile(r"[a-zA-Z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 #: Beginnings of such words (commentlist, cookiebar, ...).
 BOILER_STARTS = ("comment", "cookie", "sidebar", "advert", "newsletter", "breadcrumb", "disqus", "sponsor")
@@ -64,6 +65,8 @@ BOILER_STARTS = ("comment", "cookie", "sidebar", "advert", "newsletter", "breadc
 ARTICLE_WORDS = frozenset("comment comments reply related promo sponsored ad advert".split())
 #: Of a line outside any article: more than this part of it in links makes it a menu.
 LINK_SHARE = 0.6
+#: Elements that are a piece of a text, never the whole of it.
+TEXT_TAGS = frozenset("p b i span a em strong code li ul ol dl dt dd pre blockquote h1 h2 h3 h4 h5 h6".split())
 
 
 class Line(NamedTuple):
@@ -85,7 +88,7 @@ def is_boilerplate(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if name == "role" and value.strip().lower() in BOILER_ROLES or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDDEN.search(value):
             return True
         if name in ("class", "id") and tag not in ("html", "body", "main"):
-            words = {x.lower() for x in _SPLIT.split(value)}
+            words = {x.lower() for x in _SPLIT.split(value) + _JOINED.findall(value)}  # sideBar: side, bar and sidebar
             if tag == "article":
                 if words & ARTICLE_WORDS:
                     return True
@@ -198,9 +201,8 @@ def region_of(lines: list[Line], seeds: list[int], names: list[str]) -> set[int]
     for kind in ("article", "main"):
         if found := {e for e in weight if names[e] == kind}:
             return found
-    need = 0.6 * sum(len(lines[i].text) for i in seeds)
-    held = [e for e in weight if weight[e] >= need and names[e] not in ("p", "b", "i", "span", "a", "em", "strong", "li", "blockquote", "h1", "h2", "h3")]
-    return {max(held)} if held else {0}
+    whole = sum(len(lines[i].text) for i in seeds)
+    return {max(e for e in weight if weight[e] == whole and names[e] not in TEXT_TAGS)}
 
 
 def main_text(html: str | None) -> str:

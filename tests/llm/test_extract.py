@@ -54,3 +54,17 @@ def test_rows(spark):
 def test_kernels():
     assert smoothed([2.0] * 5) == [2.0] * 5 and smoothed([0, 0, 9, 0, 0])[2] < 9
     assert 1 < two_means([0, 1, 9, 10]) < 9 and two_means([3.0]) == 3.0
+
+
+def test_all_seeds_are_kept_without_article():
+    para = "A sentence of ordinary length that says something or other about it. " * 3
+    nav = "<div class=menu><a href=1>x</a> <a href=2>y</a></div>"
+    for parts in (
+        [f"<div>{f'<p>{para}</p>' * 13}</div>", f"<div>{f'<p>{para}</p>' * 7}</div>"],
+        [f"<p>{para}</p>", f"<pre>{para * 8}</pre>", f"<p>{para}</p>"],
+        [f"<p>{para}</p>", f"<ul>{f'<li>{para}' * 8}</ul>", f"<p>{para}</p>"],
+        [f"<p>{para}</p>", f"<table><tr><td>{para * 8}</td></tr></table>", f"<p>{para}</p>"],
+    ):
+        body = "".join(parts)
+        got = main_text(f"<html><body>{nav}<div class=content>{body}</div><div class=footer>foot</div></body></html>")
+        assert got.count("A sentence") == body.count("A sentence") and "foot" not in got and "x y" not in got
