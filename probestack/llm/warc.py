@@ -9,7 +9,10 @@ attempts that were committed, so a task that runs again or twice never touches a
 Reader. It streams an archive in blocks, checks each member (gzip, version line, length, digests) and
 on a failed check searches for the next place from which a valid member or version line can be read,
 recovers the records after it and reports the bytes skipped as a quarantined gap. Plain and
-compressed archives, and mixtures of both, are read. Memory is bounded by one record.
+compressed archives, and mixtures of both, are read. A member may hold any number of records: its
+content is streamed, and a damaged or truncated one gives the records before the damage. A gap within
+a sound member has the member's offset and counts bytes of its content. Memory is bounded by a few
+records and blocks.
 
 Defined cases: a null html is an empty payload; a null page_id is read back as null and, among equal
 payloads, counts as smaller than any number; rows that repeat both page_id and payload come out as
@@ -20,6 +23,7 @@ needs it); an empty table writes no archive and gives an empty result.
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import os
 import urllib.parse
@@ -167,53 +171,96 @@ def _parse(window: _Window, most: int) -> tuple[dict[str, str], bytes, int]:
     return headers, block, whole
 
 
-def _member(window: _Window, most: int) -> tuple[bytes, int]:
-    """The gzip member at the window's start: its content and its compressed length."""
-    unpack, out, at = zlib.decompressobj(31), bytearray(), 0
-    try:
-        while not unpack.eof:
-            if not window.need(at + 1):
-                raise _Broken("cut short")
-            chunk = bytes(window.data[at : at + BLOCK])
-            out += unpack.decompress(chunk)
-            at += len(chunk)
-            if len(out) > most + (2 << 20):
-                raise _Broken("member too long")
-    except zlib.error as bad:
-        raise _Broken(f"gzip: {str(bad)[:60]}") from None
-    return bytes(out), at - len(unpack.unused_data)
+class _Cut(_Broken):
+    """The member itself can't be read on."""
 
 
-class _Once:
-    """A stream over bytes that are at hand."""
+class _Member:
+    """The content of the gzip member at a window's start, as a stream."""
 
-    def __init__(self, data: bytes):
-        self.rest = data
+    def __init__(self, window: _Window):
+        self.window, self.unpack, self.at, self.last, self.bad = window, zlib.decompressobj(31), 0, 0, ""
 
     def read(self, n: int) -> bytes:
-        out, self.rest = self.rest[:n], self.rest[n:]
-        return out
+        while not self.unpack.eof:
+            if self.bad or not self.window.need(self.at + 1):
+                raise _Cut(self.bad or "cut short")
+            chunk, before = bytes(self.window.data[self.at : self.at + BLOCK]), self.unpack.copy()
+            self.last = self.at
+            self.at += len(chunk)
+            try:
+                out = self.unpack.decompress(chunk)
+            except zlib.error as bad:
+                self.bad, out = f"gzip: {str(bad)[:60]}", bytearray()
+                with contextlib.suppress(zlib.error):  # what comes before the damage
+                    for i in range(len(chunk)):
+                        out += before.decompress(chunk[i : i + 1])
+            if out:
+                return bytes(out)
+        return b""
+
+    def forget(self) -> None:
+        """Drop what lies before the last block read."""
+        self.window.drop(self.last)
+        self.at, self.last = self.at - self.last, 0
+
+    def close(self) -> None:
+        self.window.drop(self.at - len(self.unpack.unused_data))
+
+
+def _member_records(window: _Window, most: int) -> Iterator[Record | Gap]:
+    """Records of the member at the window's start and gaps between them; _Broken if it ends badly or has none.
+
+    What was read is dropped as records come. A record is given once something comes after it, so that
+    a member of one record with a wrong check sum stays a gap.
+    """
+    start, member = window.at, _Member(window)
+    inner, held, gave, bad_from, reason = _Window(member), [], False, None, ""
+    try:
+        while inner.need(1):
+            if held and bad_from is None:
+                yield from held
+                held, gave = [], True
+                member.forget()
+            try:
+                headers, block, n = _parse(inner, most)
+            except _Cut:
+                raise
+            except _Broken as broken:
+                if bad_from is None:
+                    bad_from, reason = inner.at, str(broken)
+                inner.drop(_next_candidate(inner, 1, (b"WARC/1.",)))
+                if member.at > most:
+                    member.forget()
+                continue
+            if bad_from is not None:
+                held.append(Gap(start, inner.at - bad_from, f"{reason}, at byte {bad_from} of a member's content"))
+                bad_from = None
+            held.append(Record(start, headers, block))
+            inner.drop(n)
+    except _Cut:
+        if held and (gave or bad_from is not None or len(held) > 1):
+            yield from held
+            member.forget()
+        raise
+    if not held and not gave:
+        raise _Broken(reason or "no record in the member")
+    yield from held
+    if bad_from is not None:
+        yield Gap(start, inner.at - bad_from, f"{reason}, at byte {bad_from} of a member's content")
+    member.close()
 
 
-def _records_at(window: _Window, most: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
-    if not window.need(2):
-        raise _Broken("cut short")
-    if window.data[:2] != b"\x1f\x8b":
-        headers, block, length = _parse(window, most)
-        return [(headers, block)], length
-    content, length = _member(window, most)
-    inner, found = _Window(_Once(content)), []
-    while inner.need(1):
-        headers, block, n = _parse(inner, most)
-        found.append((headers, block))
-        inner.drop(n)
-    return found, length
-
-
-def _next_candidate(window: _Window, start: int) -> int:
+def _plain_record(window: _Window, most: int) -> Iterator[Record]:
+    headers, block, length = _parse(window, most)
+    yield Record(window.at, headers, block)
+    window.drop(length)
+
+
+def _next_candidate(window: _Window, start: int, marks: tuple[bytes, ...] = (b"\x1f\x8b\x08", b"WARC/1.")) -> int:
     """The next place from start on where a member or a version line may begin, or the end."""
     while True:
-        places = [p for mark in (b"\x1f\x8b\x08", b"WARC/1.") if (p := window.data.find(mark, start)) >= 0]
+        places = [p for mark in marks if (p := window.data.find(mark, start)) >= 0]
         if places:
             return min(places)
         start = max(start, len(window.data) - 6)
@@ -229,19 +276,18 @@ def salvage(stream: BinaryIO, most: int = 1 << 30) -> Iterator[Record | Gap]:
     window = _Window(stream)
     bad_from, reason = None, ""
     while window.need(1):
+        start = window.at
         try:
-            found, length = _records_at(window, most)
+            packed = window.need(2) and window.data[:2] == b"\x1f\x8b"
+            for found in (_member_records if packed else _plain_record)(window, most):
+                if bad_from is not None:
+                    yield Gap(bad_from, start - bad_from, reason)
+                    bad_from = None
+                yield found
         except _Broken as broken:
             if bad_from is None:
                 bad_from, reason = window.at, str(broken)
-            window.drop(_next_candidate(window, 1))
-            continue
-        if bad_from is not None:
-            yield Gap(bad_from, window.at - bad_from, reason)
-            bad_from = None
-        for headers, block in found:
-            yield Record(window.at, headers, block)
-        window.drop(length)
+            window.drop(_next_candidate(window, int(window.at == start)))
     if bad_from is not None:
         yield Gap(bad_from, window.at - bad_from, reason)
 

@@ -83,3 +83,27 @@ def test_round_trip(spark):
     assert (3, "response") in kinds and (1, "revisit") in kinds
     empty = write_archives(frame.limit(0), scratch_path(spark, "t"))
     assert empty.count() == 0 and read_archives(empty).collect() == []
+
+
+def test_members_of_many_records():
+    rnd = random.Random(5)
+    plain = []
+    for i in range(400):
+        payload = rnd.randbytes(1000)
+        plain.append(record_bytes("response", i, f"http://x/{i}", payload, digest_of(payload)))
+    whole = gzip_member(b"".join(plain))
+    after = gzip_member(record_bytes("response", 400, "u", b"", digest_of(b"")))
+    # A member beyond the bound of one record.
+    assert [int(x.headers["x-page-id"]) for x in salvage(io.BytesIO(gzip_member(b"".join(plain) * 8)), most=5000)] == list(range(400)) * 8
+    # A bad record within a sound member.
+    inner = [*plain]
+    inner[7] = inner[7].replace(b"X-Payload", b"X-Pay\r\nload")
+    ids, gaps = read(gzip_member(b"".join(inner)) + after)
+    assert ids == [i for i in range(401) if i != 7] and gaps == [(0, len(inner[7]))]
+    # A truncated and a damaged member give what comes before.
+    ids, gaps = read(whole[: len(whole) // 2])
+    assert ids == list(range(len(ids))) and len(ids) > 190 and len(gaps) == 1
+    bad = bytearray(whole)
+    bad[len(bad) // 2 : len(bad) // 2 + 200] = b"\xff" * 200
+    ids, gaps = read(bytes(bad) + after)
+    assert ids[:190] == list(range(190)) and ids[-1] == 400 and gaps and len(set(ids)) == len(ids)
