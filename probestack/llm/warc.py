@@ -143,9 +143,12 @@ def _parse(window: _Window, most: int) -> tuple[dict[str, str], bytes, int]:
     window.need(9)
     if not bytes(window.data[:9]).startswith((b"WARC/1.0\r", b"WARC/1.1\r")):
         raise _Broken("no version line")
-    limit = 1 << 20
-    while (end := window.data.find(CRLF + CRLF, 0, limit)) < 0:
-        if len(window.data) >= limit or not window.need(len(window.data) + BLOCK) and window.data.find(CRLF + CRLF, 0, limit) < 0:
+    seen = 0
+    while (end := window.data.find(CRLF + CRLF, max(0, seen - 3))) < 0:
+        seen = len(window.data)
+        if seen > most:
+            raise _Broken("headers too long")
+        if not window.need(seen + BLOCK) and len(window.data) == seen:
             raise _Broken("headers don't end")
     headers = {}
     for line in bytes(window.data[:end]).split(CRLF)[1:]:
@@ -271,7 +274,7 @@ def _next_candidate(window: _Window, start: int, marks: tuple[bytes, ...] = (b"\
 def salvage(stream: BinaryIO, most: int = 1 << 30) -> Iterator[Record | Gap]:
     """Records of an archive in order, and the gaps that could not be read.
 
-    most bounds the length that a header may claim, so that a damaged one cannot ask for all memory.
+    most bounds a record's headers, and the length that they may claim, so that damage cannot ask for all memory.
     """
     window = _Window(stream)
     bad_from, reason = None, ""
@@ -295,7 +298,7 @@ def salvage(stream: BinaryIO, most: int = 1 << 30) -> Iterator[Record | Gap]:
 def _writer(folder: str, roll: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         task = TaskContext.get()
-        name, part, out, size, temp = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}", 0, None, 0, ""
+        name, part, out, size, temp, n = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}", 0, None, 0, "", 0
 
         def close() -> str:
             out.close()
@@ -306,15 +309,16 @@ def _writer(folder: str, roll: int):
             for page_id, url, html, digest, kind, refers in pdf.itertuples(index=False, name=None):
                 if out is None:
                     temp = f"{name}-{part:04d}.tmp"
-                    out, size = open_file(temp, "wb"), 0
+                    out, size, n = open_file(temp, "wb"), 0, 0
                 member = gzip_member(record_bytes(kind, None if pd.isna(page_id) else int(page_id), url, (html or "").encode("utf-8", "surrogatepass"), digest, None if pd.isna(refers) else int(refers)))
                 out.write(member)
                 size += len(member)
+                n += 1
                 if size >= roll:
-                    yield pd.DataFrame({"path": [close()]})
+                    yield pd.DataFrame({"path": [close()], "records": [n]})
                     out, part = None, part + 1
         if out is not None:
-            yield pd.DataFrame({"path": [close()]})
+            yield pd.DataFrame({"path": [close()], "records": [n]})
 
     return run
 
@@ -322,7 +326,7 @@ def _writer(folder: str, roll: int):
 READ_SCHEMA = "path string, offset long, length long, reason string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, block binary"
 
 
-def _reader(blocks: bool):
+def _reader(blocks: bool, whole_only: bool):
     def number(value: str | None):
         return int(value) if value is not None and value.lstrip("-").isdigit() else None
 
@@ -335,11 +339,14 @@ def _reader(blocks: bool):
             return pdf.astype(dict.fromkeys(ints, "Int64"))
 
         for pdf in batches:
-            for path in pdf["path"]:
-                rows, held = [], 0
+            for path, records in zip(pdf["path"], pdf["records"] if whole_only else [None] * len(pdf), strict=True):
+                rows, held, n_read = [], 0, 0
                 with open_file(path, "rb") as stream:
                     for x in salvage(stream):
+                        n_read += 1
                         if isinstance(x, Gap):
+                            if whole_only:
+                                raise RuntimeError(f"{path}: unreadable at {x.offset} ({x.reason})")
                             rows.append((path, x.offset, x.length, x.reason, None, None, "gap", None, None, None, None))
                         else:
                             h = x.headers
@@ -352,6 +359,8 @@ def _reader(blocks: bool):
                         if len(rows) >= 1000 or held >= 8 << 20:
                             yield frame(rows)
                             rows, held = [], 0
+                if whole_only and n_read != records:
+                    raise RuntimeError(f"{path}: {n_read} records read of {records} written")
                 if rows:
                     yield frame(rows)
 
@@ -359,7 +368,7 @@ def _reader(blocks: bool):
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 0, roll: int = ROLL_BYTES) -> DataFrame:
-    """Write pages (page_id, url, html) as archives in folder; returns their paths.
+    """Write pages (page_id, url, html) as archives in folder; returns their paths and numbers of records.
 
     Payloads meet by digest in narrow rows (page_id, digest), pre-aggregated on the map side; only
     digests that occur twice go on to the pages, by a join that the engine may split where one
@@ -378,18 +387,21 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, roll: int = RO
             yield pdf
 
     write = _writer(folder, roll)
-    return scratch(known.mapInPandas(lambda batches: write(with_digest(batches)), "path string"), "archives")
+    return scratch(known.mapInPandas(lambda batches: write(with_digest(batches)), "path string, records long"), "archives")
 
 
-def read_archives(paths: DataFrame, blocks: bool = True) -> DataFrame:
-    """Records and gaps (record_type 'gap', with offset, length and reason) of the archives in paths (path)."""
+def read_archives(paths: DataFrame, blocks: bool = True, whole_only: bool = False) -> DataFrame:
+    """Records and gaps (record_type 'gap', with offset, length and reason) of the archives in paths (path).
+
+    With whole_only, for archives just written (path, records), a gap or another number of records is an error.
+    """
     n = min(max(paths.count(), 1), READ_TASKS)
-    return paths.select("path").repartition(n, "path").mapInPandas(_reader(blocks), READ_SCHEMA)
+    return paths.select("path", *["records"] * whole_only).repartition(n, "path").mapInPandas(_reader(blocks, whole_only), READ_SCHEMA)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = write_archives(read_table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
-    found = read_archives(paths, blocks=False).where("record_type <> 'gap'")
+    found = read_archives(paths, blocks=False, whole_only=True)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -3,8 +3,10 @@ import hashlib
 import io
 import random
 
+import pytest
+
 from probestack.llm.shared import scratch_path
-from probestack.llm.warc import Gap, Record, digest_of, gzip_member, read_archives, record_bytes, salvage, write_archives
+from probestack.llm.warc import Gap, Record, digest_of, gzip_member, op10_warc, read_archives, record_bytes, salvage, write_archives
 
 
 def members(n=6, plain=False):
@@ -107,3 +109,18 @@ def test_members_of_many_records():
     bad[len(bad) // 2 : len(bad) // 2 + 200] = b"\xff" * 200
     ids, gaps = read(bytes(bad) + after)
     assert ids[:190] == list(range(190)) and ids[-1] == 400 and gaps and len(set(ids)) == len(ids)
+
+
+def test_long_urls_and_archives_that_read_back_otherwise(spark, tmp_path):
+    rows = [(1, "data:text/html," + "ü " * 400_000, "<p>x</p>"), (2, "u", "<p>y</p>"), (3, "u" * (3 << 20), None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted((r.page_id, r.payload_bytes) for r in op10_warc(spark, str(tmp_path)).collect()) == [(1, 8), (2, 8), (3, 0)]
+    paths = write_archives(pages, scratch_path(spark, "t"))
+    assert sum(r.records for r in paths.collect()) == 3
+    with pytest.raises(Exception, match="records read of"):
+        read_archives(paths.selectExpr("path", "records + 1 AS records"), whole_only=True).collect()
+    (tmp_path / "bad.warc.gz").write_bytes(members()[1][:-9])
+    bad = spark.createDataFrame([(str(tmp_path / "bad.warc.gz"), 1)], "path string, records long")
+    with pytest.raises(Exception, match="unreadable at"):
+        read_archives(bad, whole_only=True).collect()
