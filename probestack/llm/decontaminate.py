@@ -8,13 +8,19 @@ item is compared with the document word for word. A document is contaminated by
 MIN_OVERLAP of the item's words match on the diagonals together, or DENSE words within a stretch of
 STRETCH on one of them, so parts of long items count as well.
 
+Those masks miss substitutions in short items. Items of fewer than LIGHT_BELOW words are looked up by
+LIGHT_MASKS too, all masks of three words within five: where three fifths of the words match on one
+diagonal, some five in a row have three that match, so every such placement is hit. These masks
+meet much by chance, so a diagonal they hit counts only if it has MIN_OVERLAP of the item by itself and
+the document has a word for each of the item's.
+
 Windows are made and hashed inside one generated loop over a document's word array and looked up in
 the benchmark's hashes there; only hits leave it. The benchmark side is broadcast up to
 BROADCAST_SEEDS rows. A larger one is cut by hash into parts of that size, each broadcast in a pass of
 its own over the documents, and only hits meet its rows by a shuffle; windows are never shuffled.
 
-Defined cases: items of five to seven words are matched by runs of five words; items with fewer
-words, null or empty items never match; rows that repeat an item_id with another text are items of
+Defined cases: items of five to seven words are matched by runs of five words and the light masks;
+items with fewer words, null or empty items never match; rows that repeat an item_id with another text are items of
 their own under one id, reported by the best; null or empty documents never match; a null doc_id is
 reported as null; repeated documents are reported once per doc_id and item; clashing columns are
 ignored. Empty tables give no rows.
@@ -32,6 +38,9 @@ from probestack.llm.shared import read_table, scratch, small_side
 #: Two masks of weight 5 over 8 words, for items of 8 words and more; runs of five for shorter ones.
 MASKS = ("11011001", "10010111")
 SHORT_MASK = "11111"
+#: All masks of weight 3 over five words at most.
+LIGHT_MASKS = ("111", "1101", "1011", "11001", "10101", "10011")
+LIGHT_BELOW = 25
 MIN_WORDS = 5
 MIN_OVERLAP = 0.6
 DENSE, STRETCH = 13, 16
@@ -50,11 +59,13 @@ def _seed(words: Column, at: Column, mask: str, number: int) -> Column:
 
 
 def _windows(rows: DataFrame, keep: list[str], masks: list[tuple[int, str]]) -> DataFrame:
-    """keep, at, seed for each window of `words` under each of the masks, which have one length."""
-    span = len(masks[0][1])
+    """keep, at, seed for each window of `words` under each of the masks; one that passes the end of the words has no seed."""
+    span = min(len(m) for _, m in masks)
     long = rows.where(F.size("words") >= span)
+    inside = lambda m: F.col("at") <= F.size("words") - len(m)
+    seeds = [_seed(F.col("words"), F.col("at"), m, n) if len(m) == span else F.when(inside(m), _seed(F.col("words"), F.col("at"), m, n)) for n, m in masks]
     placed = long.select(*keep, "words", F.explode(F.sequence(F.lit(0), F.size("words") - span)).alias("at"))
-    return placed.select(*keep, "words", "at", F.explode(F.array(*[_seed(F.col("words"), F.col("at"), m, n) for n, m in masks])).alias("seed"))
+    return placed.select(*keep, "words", "at", F.explode(F.array(*seeds)).alias("seed"))
 
 
 def _hits(bodies: DataFrame, seeds: DataFrame, masks: list[tuple[int, str]]) -> DataFrame:
@@ -74,31 +85,39 @@ def _hits(bodies: DataFrame, seeds: DataFrame, masks: list[tuple[int, str]]) ->
     return found.select("doc_id", "item_id", "item_key", "n_item_words", start.alias("start"), part.alias("part"))
 
 
+def _places(lines: DataFrame) -> Column:
+    """The item's places that match along `start`. Place i lies at index i, or i + start where start < 0, of part."""
+    lead = F.least(F.col("start"), F.lit(0))
+    return F.filter(F.sequence(F.lit(0), F.col("n_item_words") - 1), lambda i: (i + lead >= 0) & F.coalesce(F.get("item", i) == F.get("part", i + lead), F.lit(False)))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_overlap: float = MIN_OVERLAP, dense: int = DENSE, stretch: int = STRETCH) -> DataFrame:
     """doc_id, item_id, n_matched, n_dense, n_item_words, overlap of documents that hold an item or a dense part of it."""
     items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") >= MIN_WORDS).distinct()
     items = items.select("item_id", "words", F.xxhash64("words").alias("item_key"))
     span = len(MASKS[0])
-    groups = [(list(enumerate(MASKS)), items.where(F.size("words") >= span)), ([(len(MASKS), SHORT_MASK)], items.where(F.size("words") < span))]
+    light = list(enumerate(LIGHT_MASKS, len(MASKS) + 1))
+    groups = [(list(enumerate(MASKS)), items.where(F.size("words") >= span)), ([(len(MASKS), SHORT_MASK)], items.where(F.size("words") < span)), (light, items.where(F.size("words") < LIGHT_BELOW))]
+    whole = items.select(F.col("item_key").alias("own_key"), F.col("item_id").alias("own_id"), F.col("words").alias("item"))
+    whole = small_side(whole, BROADCAST_SEEDS // 20)
+    of_item = lambda rows: rows.join(whole, (F.col("item_key") == F.col("own_key")) & F.col("item_id").eqNullSafe(F.col("own_id"))).drop("own_key", "own_id")
     bodies = docs.select("doc_id", words_of(F.col("text")).alias("words"))
     hits = None
     for masks, group in groups:
         seeds = _windows(group.withColumn("n_item_words", F.size("words")), ["item_id", "item_key", "n_item_words"], masks)
-        seeds = scratch(seeds.select("item_id", "item_key", "n_item_words", F.col("at").alias("item_at"), "seed").distinct(), "seeds")
+        seeds = scratch(seeds.select("item_id", "item_key", "n_item_words", F.col("at").alias("item_at"), "seed").where("seed is not null").distinct(), "seeds")
         if seeds.isEmpty():
             continue
         found = _hits(bodies, seeds, masks)
+        if masks is light:
+            found = of_item(found)
+            found = found.where((F.size("part") == F.col("n_item_words")) & (F.size(_places(found)) >= min_overlap * F.col("n_item_words"))).drop("item")
         hits = found if hits is None else hits.unionAll(found)
     if hits is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_matched long, n_dense long, n_item_words long, overlap double").limit(0)
     lines = hits.groupBy("doc_id", "item_id", "item_key", "n_item_words", "start", "part").agg(F.lit(1).alias("one"))
-    whole = items.select("item_key", F.col("item_id").alias("own_id"), F.col("words").alias("item"))
-    whole = small_side(whole, BROADCAST_SEEDS // 20)
-    lines = lines.join(whole, [lines["item_key"] == whole["item_key"], lines["item_id"].eqNullSafe(whole["own_id"])]).drop(whole["item_key"])
-    # Place i of the item lies at start + i of the document: at index i, or i + start where start < 0, of part.
-    lead = F.least(F.col("start"), F.lit(0))
-    matched = F.filter(F.sequence(F.lit(0), F.col("n_item_words") - 1), lambda i: (i + lead >= 0) & F.coalesce(F.get("item", i) == F.get("part", i + lead), F.lit(False)))
-    matched = lines.select("doc_id", "item_id", "item_key", "n_item_words", "start", F.explode(matched).alias("place"))
+    lines = of_item(lines)
+    matched = lines.select("doc_id", "item_id", "item_key", "n_item_words", "start", F.explode(_places(lines)).alias("place"))
     ahead = Window.partitionBy("doc_id", "item_id", "item_key", "start").orderBy("place").rangeBetween(0, stretch - 1)
     matched = matched.withColumn("near", F.count("*").over(ahead))
     per = matched.groupBy("doc_id", "item_id", "item_key", "n_item_words").agg(F.count_distinct("place").alias("n_matched"), F.max("near").alias("n_dense"))

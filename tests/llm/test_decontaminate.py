@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -59,3 +60,21 @@ def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, " ".join(ITEM))], "doc_id long, text string")
     plan = contaminated(docs, spark.createDataFrame([(1, " ".join(ITEM))], "item_id long, text string"))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct", "BroadcastNestedLoop"))
+
+
+def test_every_placement_of_substitutions_in_short_items(spark):
+    own = random.Random(7)
+    items, docs, want = [], [], {}
+    for n in (5, 6, 7, 8, 9, 10, 12, 15, 20, 24):
+        words = [f"i{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        least = -(-3 * n // 5)
+        for changes in (n - least, n - least + 1)[: 2 if least <= 13 else 1]:  # more words might still be dense
+            ways = list(itertools.combinations(range(n), changes)) if n < 8 else [own.sample(range(n), changes) for _ in range(15)]
+            for way in ways:
+                doc = len(docs)
+                docs.append((doc, " ".join(noise(own.randrange(4)) + [w if k not in way else "other" for k, w in enumerate(words)] + noise(3))))
+                if changes == n - least:  # by brute force, n - changes words of the only alignment match
+                    want[doc, n] = (least, n)
+    got = run(spark, docs, items)
+    assert not {k: got.get(k) for k in want if got.get(k) != want[k]} and not {k: got[k] for k in got if k not in want}
