@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from probestack.operators.stats import running_min
+from probestack.operators.stats import rank_within, running_min
 
 
 def hash_order(seed: str, *ids: str) -> list[Column]:
@@ -75,5 +75,5 @@ def _drawn(df: DataFrame, seed: str) -> DataFrame:
 def stratified_folds(df: DataFrame, label: str, row_id: str, folds: int = 10, seed: str = "0") -> DataFrame:
     """A fold from 0 for each row, labels spread evenly; every fold exists however small a label is."""
     start = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), F.col(label).cast("string"))), 1, 8), 16, 10).cast("long")
-    at = F.row_number().over(Window.partitionBy(label).orderBy(*hash_order(seed, row_id)))
-    return df.withColumn("fold", F.pmod(at - 1 + start, F.lit(folds)).cast("int"))
+    ranked = rank_within(df, [label], hash_order(seed, row_id), "_rank")
+    return ranked.withColumn("fold", F.pmod(F.col("_rank") - 1 + start, F.lit(folds)).cast("int")).drop("_rank")

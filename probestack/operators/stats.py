@@ -2,48 +2,72 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from probestack.shared import scratch
+
 
 def contingency(df: DataFrame, a: str, b: str, keys: list[str] | None = None) -> DataFrame:
     return df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*(keys or []), a, b).agg(F.count("*").alias("n"))
 
 
 def mutual_information(df: DataFrame, a: str, b: str, keys: list[str] | None = None) -> DataFrame:
-    """keys, n, mi, h_a, h_b in nats. Margins come from the contingency table, so rows are read once."""
+    """keys, n, mi, h_a, h_b in nats.
+
+    With N rows, cells n and margins n_a, n_b: h_a = ln N - sum(n_a ln n_a) / N and
+    mi = ln N + (sum(n ln n) - sum(n_a ln n_a) - sum(n_b ln n_b)) / N. Rows are read once; the cells and both
+    margins come from one grouping, and only their sums per key meet.
+    """
     keys = keys or []
     cells = contingency(df, a, b, keys)
-    by = lambda *c: Window.partitionBy(*keys, *c) if keys or c else Window.partitionBy(F.lit(0))
-    margins = cells.withColumn("na", F.sum("n").over(by(a))).withColumn("nb", F.sum("n").over(by(b))).withColumn("nn", F.sum("n").over(by()))
-    p = F.col("n") / F.col("nn")
-    mi = F.sum(p * F.log(F.col("n") * F.col("nn").cast("double") / (F.col("na").cast("double") * F.col("nb"))))
-    # Each cell bears its part of the margins' entropies.
-    ha = -F.sum(p * F.log(F.col("na") / F.col("nn")))
-    hb = -F.sum(p * F.log(F.col("nb") / F.col("nn")))
-    grouped = margins.groupBy(*keys) if keys else margins.groupBy()
-    return grouped.agg(F.sum("n").alias("n"), mi.alias("mi"), ha.alias("h_a"), hb.alias("h_b"))
+    every = cells.groupingSets([[*keys, a, b], [*keys, a], [*keys, b]], *keys, a, b).agg(F.sum("n").cast("double").alias("_n"), F.grouping(a).alias("_no_a"), F.grouping(b).alias("_no_b"))
+    part = lambda no_a, no_b, x: F.sum(F.when((F.col("_no_a") == no_a) & (F.col("_no_b") == no_b), x))
+    self_log = F.col("_n") * F.log("_n")
+    sums = (every.groupBy(*keys) if keys else every.groupBy()).agg(part(0, 0, F.col("_n")).alias("_all"), part(0, 0, self_log).alias("_ab"), part(0, 1, self_log).alias("_a"), part(1, 0, self_log).alias("_b"))
+    whole = F.log("_all")
+    mi, ha, hb = whole + (F.col("_ab") - F.col("_a") - F.col("_b")) / F.col("_all"), whole - F.col("_a") / F.col("_all"), whole - F.col("_b") / F.col("_all")
+    return sums.select(*keys, F.col("_all").cast("long").alias("n"), mi.alias("mi"), ha.alias("h_a"), hb.alias("h_b"))
 
 
 def entropy(df: DataFrame, label: str) -> DataFrame:
-    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    p = F.col("n") / F.col("total")
-    return counts.withColumn("total", total).groupBy().agg((-F.sum(p * F.log(p))).alias("h"))
+    counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").cast("double").alias("n"))
+    return counts.groupBy().agg((F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("h"))
+
 
+def average_rank(df: DataFrame, value: str, name: str, keys: list[str] | None = None) -> DataFrame:
+    """df with the rank of value from 1 within each key, ties sharing the mean of their ranks.
 
-def average_rank(value: str, keys: list[str] | None = None) -> Column:
-    """Rank from 1, ties sharing the mean of their ranks."""
+    Equal values are counted first, then numbered in whole-table order by range, so neither a key nor a
+    tie gathers in one task; the ranks go back to the rows by an equi-join that may be split.
+    """
     keys = keys or []
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    same = Window.partitionBy(*keys, value)
-    return F.rank().over(part.orderBy(value)) + (F.count("*").over(same) - 1) / 2.0
+    cells = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    rows = dealt(cells, [F.col(c) for c in (*keys, value)])
+    upto = F.sum("_n").over(Window.partitionBy("_range").orderBy("_within").rowsBetween(Window.unboundedPreceding, 0))
+    summed = rows.withColumn("_upto", upto).join(_carried(rows, F.sum("_n"), F.sum), "_range")
+    summed = summed.select(*keys, value, "_n", (F.coalesce("_before", F.lit(0)) + F.col("_upto") - F.col("_n")).alias("_below"))
+    least = (summed.groupBy(*keys) if keys else summed.groupBy()).agg(F.min("_below").alias("_first"))
+    summed = _with_key(summed, least, keys)
+    ranks = summed.select(*keys, value, (F.col("_below") - F.col("_first") + (F.col("_n") + 1) / 2.0).alias(name))
+    return _with_key(df, ranks, [*keys, value])
+
+
+def _with_key(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with other's further columns, joined on keys that may be null; without keys other has one row."""
+    if not keys:
+        return rows.crossJoin(F.broadcast(other))
+    same = reduce(lambda a, b: a & b, [F.col(f"_own.{k}").eqNullSafe(F.col(f"_key.{k}")) for k in keys])
+    return rows.alias("_own").join(other.alias("_key"), same).select("_own.*", *[F.col(f"_key.{c}") for c in other.columns if c not in keys])
 
 
 def spearman(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
-    """keys, n, rho. Ranks are computed per key, each key in its own task."""
+    """keys, n, rho over the rows that have both values."""
     keys = keys or []
-    ranked = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_x", average_rank(x, keys)).withColumn("_y", average_rank(y, keys))
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
+    ranked = average_rank(average_rank(rows, x, "_x", keys), y, "_y", keys)
     return (ranked.groupBy(*keys) if keys else ranked.groupBy()).agg(F.count("*").alias("n"), F.corr("_x", "_y").alias("rho"))
 
 
@@ -67,36 +91,49 @@ def covariance(df: DataFrame, vec: str = "vec", keys: list[str] | None = None) -
     return sums.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*")
 
 
-def _ranged(df: DataFrame, order: list[Column], partitions: int | None) -> DataFrame:
-    """df dealt by ranges of order, numbered in _range. The ranges follow from the data, so a repeated read deals alike."""
+def dealt(df: DataFrame, order: list[Column], partitions: int | None = None) -> DataFrame:
+    """df dealt by ranges of order and sorted in them, with _range and _within (from 1), as a written table.
+
+    Range bounds come from a sample that differs from one evaluation to the next, so whatever counts rows
+    per range and whatever numbers them must read the same written rows.
+    """
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
+    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    rows = scratch(placed, "dealt")
+    # The id is the partition's number above 33 bits that count its rows.
+    return rows.withColumn("_range", F.shiftright("_at", 33)).withColumn("_within", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at")
 
 
-def _carried(ranged: DataFrame, total: Column, carry) -> DataFrame:
-    """_range and _before: what the ranges before each one come to; one row per range."""
-    sums = ranged.groupBy("_range").agg(total.alias("_total"))
+def _carried(rows: DataFrame, total: Column, carry) -> DataFrame:
+    """_range and _before: what the ranges before each one come to; one row per range, of which there are as many as partitions."""
+    sums = rows.groupBy("_range").agg(total.alias("_total"))
     return F.broadcast(sums.select("_range", carry("_total").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_before")))
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank", partitions: int | None = None) -> DataFrame:
     """Row numbers from 1 over the whole table without gathering it in one task.
 
-    Rows are dealt by range and numbered within each range; the ranges' sizes give the offsets. order
-    must end in a unique key.
+    Rows are dealt by range, sorted within each range and written; the ranges' sizes give the offsets.
+    order must end in a unique key.
     """
-    ranged = _ranged(df, order, partitions)
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    numbered = ranged.withColumn("_within", within).join(_carried(ranged, F.count("*"), F.sum), "_range")
+    rows = dealt(df, order, partitions)
+    numbered = rows.join(_carried(rows, F.count("*"), F.sum), "_range")
     return numbered.withColumn(name, F.coalesce("_before", F.lit(0)) + F.col("_within")).drop("_range", "_within", "_before")
 
 
+def rank_within(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank", partitions: int | None = None) -> DataFrame:
+    """Row numbers from 1 within each key, however many rows a key has: whole-table numbers less those before the key."""
+    every = global_rank(df, [*[F.col(k) for k in keys], *order], "_whole", partitions)
+    first = every.groupBy(*keys).agg(F.min("_whole").alias("_first"))
+    return _with_key(every, first, keys).withColumn(name, F.col("_whole") - F.col("_first") + 1).drop("_whole", "_first")
+
+
 def running_min(df: DataFrame, order: list[Column], value: str, name: str, partitions: int | None = None) -> DataFrame:
     """The smallest value up to each row in order, over the whole table, dealt by range as in global_rank."""
-    ranged = _ranged(df, order, partitions)
-    within = F.min(value).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    numbered = ranged.withColumn("_within", within).join(_carried(ranged, F.min(value), F.min), "_range")
-    return numbered.withColumn(name, F.least("_before", "_within")).drop("_range", "_within", "_before")
+    rows = dealt(df, order, partitions)
+    within = F.min(value).over(Window.partitionBy("_range").orderBy("_within").rowsBetween(Window.unboundedPreceding, 0))
+    numbered = rows.withColumn("_low", within).join(_carried(rows, F.min(value), F.min), "_range")
+    return numbered.withColumn(name, F.least("_before", "_low")).drop("_range", "_within", "_low", "_before")
 
 
 def best_by(df: DataFrame, keys: list[str], score: str, ties: list[str]) -> DataFrame:

@@ -109,6 +109,34 @@ def test_best_by_and_global_rank(spark):
     assert [r["rank"] for r in got] == list(range(1, 1001)) and [r.v for r in got] == sorted(r.v for r in got)
 
 
+def test_ranks_hold_when_written_with_other_columns(spark, tmp_path):
+    """Half a million rows over 16 partitions, with columns that one side of the plan doesn't need."""
+    n = 500_000
+    rows = spark.range(0, n, 1, 16).select("id", F.pmod(F.col("id") * 7919, F.lit(104_729)).alias("v"), F.concat(F.lit("x"), F.col("id")).alias("text"), F.pmod(F.xxhash64("id"), F.lit(3)).alias("k"))
+    stats.global_rank(rows, [F.desc("v"), F.col("id")], partitions=16).write.parquet(f"{tmp_path}/r")
+    got = spark.read.parquet(f"{tmp_path}/r")
+    assert got.agg(F.count_distinct("rank"), F.min("rank"), F.max("rank"), F.count("text")).first() == (n, 1, n, n)
+    want = sorted((-((i * 7919) % 104_729), i) for i in range(n))
+    assert [r.id for r in got.where("rank % 9973 = 1").orderBy("rank").collect()] == [want[k][1] for k in range(0, n, 9973)]
+    top = vocabulary.ranked(rows.select(F.col("text").alias("token"), F.col("v").alias("cnt"), "k"))
+    assert top.agg(F.count_distinct("rank"), F.max("rank"), F.count("k")).first() == (n, n, n)
+    stats.running_min(rows, [F.col("id")], "v", "low", partitions=16).write.parquet(f"{tmp_path}/m")
+    low, wrong = n, 0
+    found = {r.id: r.low for r in spark.read.parquet(f"{tmp_path}/m").select("id", "low").toLocalIterator()}
+    for i in range(n):
+        low = min(low, (i * 7919) % 104_729)
+        wrong += found[i] != low
+    assert wrong == 0
+    within = stats.rank_within(rows, ["k"], [F.col("v"), F.col("id")], partitions=16).groupBy("k").agg(F.count("*").alias("n"), F.count_distinct("rank").alias("d"), F.max("rank").alias("m")).collect()
+    assert len(within) == 3 and all(r.n == r.d == r.m for r in within)
+
+
+def test_average_rank_of_null_keys_and_ties(spark):
+    rows = spark.createDataFrame([(None, 1.0), (None, 1.0), (None, 0.0), ("a", 5.0), ("a", 5.0), ("a", 7.0)], "k string, v double")
+    got = sorted((r.k or "", r.v, r.rank) for r in stats.average_rank(rows, "v", "rank", ["k"]).collect())
+    assert got == [("", 0.0, 1.0), ("", 1.0, 2.5), ("", 1.0, 2.5), ("a", 5.0, 1.5), ("a", 5.0, 1.5), ("a", 7.0, 3.0)]
+
+
 def test_vocabulary(spark):
     t = spark.createDataFrame([("train-clean-100", "a"), ("train-clean-360", "a"), ("train-other-500", "b"), ("dev", "c")], "split string, token string")
     got = sorted((r.split, r.token, r["count"]) for r in vocabulary.combine(t).groupBy("split", "token").count().collect())
