@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,49 +9,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dir: list[str] = []
+from probestack.shared import discard, remove_path, scratch, scratch_path, shared_dir
+
+__all__ = ["discard", "remove_path", "scratch", "scratch_path", "shared_dir"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="probestack-"))
-        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
-    return "file://" + _own_dir[0]
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/probestack/{name}-{uuid.uuid4().hex}"
-
-
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, and a lost executor loses nothing."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a scratch table that nothing reads any more."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        remove_path(df.sparkSession, path)
-
-
-def remove_path(spark: SparkSession, path: str) -> None:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
-
-
 def held_out(doc_id: str, modulus: int, remainder: int = 2):
     """True where crc32(doc_id as text) mod modulus is remainder; a null doc_id counts as not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % modulus == remainder, F.lit(False))
