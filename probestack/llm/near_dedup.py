@@ -16,10 +16,13 @@ meet all members of other components: chunk by chunk, bags held once per chunk,
 spanning forest of the links they find. Copies of one text cost one comparison per band, and no link
 between different components is passed over.
 
+A bag belongs to a text, not to a doc_id: texts are told apart by a 128-bit digest of their words. In each
+class one row is kept, that with the smallest (doc_id, null last; then digest); class_id is its doc_id.
+
 Defined cases: a null, empty or wordless text is a class of its own; texts with the same words are
-exact copies and share a class; a null doc_id stands in no class (class_id null, kept true); rows
-that repeat a doc_id and its words come out once; a doc_id with several texts comes out once per
-text. Other columns are ignored. An empty table gives an empty result.
+exact copies and share a class; rows with a null doc_id are classed as any other, and class_id is null
+where no member has a doc_id; rows that repeat a doc_id and its words come out once; a doc_id with
+several texts comes out once per text. Other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probestack.llm.shared import Forest, components, discard, read_table, scratch
-from probestack.llm.text import ALNUM, U, bounded, gram_hashes, mix, split_words, streams
+from probestack.llm.text import ALNUM, U, Words, bounded, gram_hashes, mix, split_words, streams
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -103,6 +106,16 @@ def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return total
 
 
+def digests(words: Words) -> list[np.ndarray]:
+    """Two 64-bit digests of each text's words in order: together they name exact copies."""
+    place = np.arange(len(words.hash), dtype=U) - np.repeat(words.first[:-1], words.counts).astype(U)
+    out = []
+    for salt in (U(0x51ED), U(0xC0FFEE)):
+        total = np.concatenate([np.zeros(1, U), np.cumsum(mix(words.hash + mix(place + salt)), dtype=U)])
+        out.append((total[words.first[1:]] - total[words.first[:-1]]).view(np.int64))
+    return out
+
+
 def _sign(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text"):
@@ -110,28 +123,28 @@ def _sign(width: int, bands: int, rows: int):
             grams, doc = gram_hashes(words, width)
             keys, owner, weight = bag(grams, doc, words.n_docs)
             sig = band_hashes(signatures(keys, owner, weight, words.n_docs, bands * rows), bands, rows)
-            # An order-dependent digest of the words: 128 bits name exact copies.
-            place = np.arange(len(words.hash), dtype=U) - np.repeat(words.first[:-1], words.counts).astype(U)
-            digest = []
-            for salt in (U(0x51ED), U(0xC0FFEE)):
-                total = np.concatenate([np.zeros(1, U), np.cumsum(mix(words.hash + mix(place + salt)), dtype=U)])
-                digest.append((total[words.first[1:]] - total[words.first[:-1]]).view(np.int64))
             flat = pa.array(sig.view(np.int64).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), flat)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(words.counts.astype(np.int64)), pa.array(digest[0]), pa.array(digest[1]), lists],
-                names=["doc_id", "n_words", "d1", "d2", "bands"],
+                [*(batch.column(c) for c in ("doc_id", "k1", "k2")), pa.array(words.counts.astype(np.int64)), *map(pa.array, digests(words)), lists],
+                names=["doc_id", "k1", "k2", "n_words", "d1", "d2", "bands"],
             )
 
     return run
 
 
 def _elements(width: int):
-    """Bags as sorted arrays of 64-bit elements: (shingle, 0), (shingle, 1), ... up to its count."""
+    """Bags as sorted arrays of 64-bit elements: (shingle, 0), (shingle, 1), ... up to its count.
+
+    Of the rows (id, d1, d2, text) those are taken whose words have that digest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text"):
             words = split_words(batch.column("text"), ALNUM)
+            own = np.ones(batch.num_rows, bool)
+            for name, digest in zip(("d1", "d2"), digests(words), strict=True):
+                own &= batch.column(name).to_numpy() == digest
             grams, doc = gram_hashes(words, width)
             keys, owner, weight = bag(grams, doc, words.n_docs)
             nth = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
@@ -140,22 +153,28 @@ def _elements(width: int):
             order = np.argsort(owner, kind="stable")
             offsets = np.searchsorted(owner[order], np.arange(words.n_docs + 1))
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat[order].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], names=["id", "bag"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), lists], names=["id", "bag"]).filter(pa.array(own))
 
     return run
 
 
-def _bags(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """Bags (id, bag) of the documents in ids (doc_id).
+def _bags(ids: DataFrame, texts: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """Bags (id, bag) of the texts in ids (id), one each, by way of the doc_id that texts has for each.
 
     Merge joins at every size: what would be broadcast here grows with the input.
     """
-    return scratch(docs.join(ids.distinct().hint("merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_elements(width), "id long, bag array<long>"), "bags")
+    wanted = texts.select("id", "d1", "d2", F.col("rep").alias("own"), "again").join(ids.distinct().hint("merge"), "id", "left_semi")
+    found = docs.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("own"))).select("id", "d1", "d2", "again", "text")
+    schema = "id long, bag array<long>"
+    cut = lambda rows: rows.select("id", "d1", "d2", "text").mapInArrow(_elements(width), schema)
+    bags = cut(found.where("not again"))
+    if not texts.where("again").isEmpty():  # rows that repeat a doc_id and its words, or have no doc_id: one of each
+        bags = bags.unionAll(cut(found.where("again").dropDuplicates(["id", "text"])).dropDuplicates(["id"]))
+    return scratch(bags, "bags")
 
 
 def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     """Of the pairs (a, b), those whose bags overlap by threshold or more."""
-    # A doc_id with several texts has several bags: pairs are verified for any of them.
     joined = pairs.join(bags.select(F.col("id").alias("a"), F.col("bag").alias("x")).hint("merge"), "a")
     joined = joined.join(bags.select(F.col("id").alias("b"), F.col("bag").alias("y")).hint("merge"), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -223,7 +242,7 @@ def _meet(threshold: float):
     return run
 
 
-def _met(mine: DataFrame, docs: DataFrame, width: int, threshold: float, chunk: int) -> DataFrame | None:
+def _met(mine: DataFrame, texts: DataFrame, docs: DataFrame, width: int, threshold: float, chunk: int) -> DataFrame | None:
     """Links between components that share a bucket, for mine (bucket, id, component, n_words); None if no bucket has two."""
     parts = mine.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("n_words").alias("w"))
     most = F.max(F.struct("n", "component", "w"))
@@ -241,7 +260,7 @@ def _met(mine: DataFrame, docs: DataFrame, width: int, threshold: float, chunk:
     rows = scratch(rows.select("bucket", "id", "component", "outer", "part", F.explode(F.when(F.col("outer"), F.concat(among, across)).otherwise(inside)).alias("t")).select("*", "t.*").drop("t"), "mixed")
     if rows.isEmpty():
         return None
-    bags = _bags(rows.select(F.col("id").alias("doc_id")), docs, width)
+    bags = _bags(rows.select("id"), texts, docs, width)
     dealt = rows.join(bags.hint("merge"), "id")
     links = scratch(dealt.groupBy("bucket", "kind", "i", "j").applyInArrow(_meet(threshold), "a long, b long").distinct(), "links")
     discard(bags)
@@ -249,45 +268,82 @@ def _met(mine: DataFrame, docs: DataFrame, width: int, threshold: float, chunk:
     return links
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, chunk: int = CHUNK) -> DataFrame:
-    """Class of each document: doc_id, class_id (smallest doc_id of its class), kept (doc_id = class_id), n_words."""
-    docs = docs.select("doc_id", "text")
-    signed = scratch(docs.mapInArrow(_sign(width, bands, rows), "doc_id long, n_words long, d1 long, d2 long, bands array<long>"), "signed")
-    worded = signed.where("doc_id is not null and n_words > 0")
-    first = scratch(worded.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_words").alias("n_words")), "first")
-    buckets = first.select(F.col("rep").alias("id"), "n_words", F.explode("bands").alias("bucket"))
+def classed(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, k1, k2, n, class_id, kept, n_words: a row per doc_id and words.
+
+    k1 and k2 are a 128-bit hash of the raw text that stands for them (the smallest, where several raw
+    texts of a doc_id have the same words), n the number of rows. Wordless rows come once per raw text.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), "text")
+    signed = scratch(keyed.mapInArrow(_sign(width, bands, rows), "doc_id long, k1 long, k2 long, n_words long, d1 long, d2 long, bands array<long>"), "signed")
+    worded = signed.where("n_words > 0")
+    # Of a text's rows the one with the smallest doc_id brings its words; again: that doc_id may bring them more than once.
+    own = worded.groupBy("d1", "d2", "doc_id").agg(F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("n_words").alias("n_words"))
+    least = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "n", "bands", "n_words")).alias("m")
+    texts = own.groupBy("d1", "d2").agg(least).select("d1", "d2", F.col("m.doc_id").alias("rep"), ((F.col("m.n") > 1) | F.col("m.none")).alias("again"), "m.bands", "m.n_words")
+    texts = scratch(texts.withColumn("id", F.monotonically_increasing_id()), "texts")
+    buckets = texts.select("id", "n_words", F.explode("bands").alias("bucket"))
     full = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("bucket", "id").alias("by"), "id"))["id"].alias("centre")).where("n > 1")
     held = scratch(buckets.join(full.hint("merge"), "bucket").select("bucket", "id", "centre", "n_words"), "buckets")
     star = scratch(held.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct(), "star")
-    bags = _bags(star.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, width)
+    bags = _bags(star.select(F.explode(F.array("a", "b")).alias("id")), texts, docs, width)
     links = _verified(star, bags, threshold)
-    discard(bags)
-    classes = components(links)
+    discard(bags, star)
+    classes = scratch(components(links), "classes")
     mine = held.join(classes.hint("merge"), "id", "left").select("bucket", "id", "n_words", F.coalesce("component", "id").alias("component"))
-    more = _met(mine, docs, width, threshold, chunk)
+    more = _met(mine, texts, docs, width, threshold, chunk)
     if more is not None:
-        classes = components(links.unionAll(more))
-    classes = scratch(classes, "classes")
+        first, classes = classes, scratch(components(links.unionAll(more)), "classes")
+        discard(first, more)
+    discard(held, links)
+    of_text = texts.join(classes.hint("merge"), "id", "left").select("d1", "d2", "rep", F.coalesce("component", "id").alias("component"))
+    # The kept row of a class: the smallest doc_id, null last, then the smallest digest.
+    best = of_text.groupBy("component").agg(F.min(F.struct(F.isnull("rep").alias("none"), F.col("rep").alias("class_id"), F.col("d1").alias("b1"), F.col("d2").alias("b2"))).alias("best"))
+    of_text = of_text.join(best.hint("merge"), "component").select("d1", "d2", "best.class_id", "best.b1", "best.b2")
+    keeps = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("d1") == F.col("b1")) & (F.col("d2") == F.col("b2"))
+    columns = ["doc_id", "d1", "d2", "k1", "k2", "n", "class_id", "kept", "n_words"]
+    raw = F.min(F.struct("k1", "k2")).alias("raw")
+    grouped = worded.groupBy("doc_id", "d1", "d2", "n_words").agg(F.count("*").alias("n"), raw).select("*", "raw.*")
+    grouped = grouped.join(of_text.hint("merge"), ["d1", "d2"]).withColumn("kept", keeps)
+    alone = signed.where("n_words = 0").groupBy("doc_id", "d1", "d2", "n_words", "k1", "k2").agg(F.count("*").alias("n"))
+    alone = alone.withColumn("class_id", F.col("doc_id")).withColumn("kept", F.lit(True))
+    return grouped.select(columns).unionAll(alone.select(columns))
 
-    of_copy = first.join(classes.hint("merge"), first["rep"] == classes["id"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("class_id"))
-    out = worded.join(of_copy.hint("merge"), ["d1", "d2"]).select("doc_id", "class_id", "n_words").unionAll(
-        signed.where("doc_id is null or n_words = 0").select("doc_id", F.col("doc_id").alias("class_id"), "n_words")
-    )
-    out = out.distinct()
-    return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"), "n_words")
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, chunk: int = CHUNK) -> DataFrame:
+    """Class of each document: doc_id, class_id (smallest doc_id of its class), kept (the one row of its class that stays), n_words."""
+    return classed(docs, threshold, width, bands, rows, chunk).select("doc_id", "class_id", "kept", "n_words", "d1", "d2").distinct().drop("d1", "d2")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each class stays, that with the smallest doc_id, once if its row repeats."""
-    found = scratch(near_duplicates(docs), "classes")
-    gone = found.where("not kept").select("doc_id")
-    left = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
-    twice = scratch(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeats")
-    if twice.isEmpty():
-        return left
-    again = left.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"])
-    return left.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(again)
+    """Pipeline stage: of each class its kept row stays, once if it repeats. Rows go by doc_id and text, never by doc_id alone."""
+    kept = scratch(classed(docs).where("kept").select("doc_id", "k1", "k2", "n", "n_words"), "kept")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("x1"), F.xxhash64(F.lit(1), F.col("text")).alias("x2"))
+    own = F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.col("x1") == F.col("k1")) & (F.col("x2") == F.col("k2"))
+    twice = F.col("n") > 1
+    left = rows.join(kept.where(~twice | (F.col("n_words") == 0)).hint("merge"), own, "left_semi").select("row")
+    if not kept.where(twice & (F.col("n_words") > 0)).isEmpty():
+        again = rows.join(kept.where(twice & (F.col("n_words") > 0)).hint("merge"), own, "left_semi")
+        left = left.unionAll(again.groupBy(F.col("row.doc_id").alias("i"), "x1", "x2").agg(F.first("row").alias("row")).select("row"))
+    return left.select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+#: By definition, over all pairs: exact multiset overlap of runs of five words, and the closure of the links.
+OP8_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - {WIDTH - 2}, 2)), lambda i: array_to_string(w[i:i + {WIDTH - 1}], ' '))) AS g FROM d WHERE len(w) > 0),
+c AS (SELECT doc_id, g, count(*) AS n FROM s GROUP BY ALL),
+t AS (SELECT doc_id, sum(n) AS whole FROM c GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, sum(least(a.n, b.n)) AS common FROM c a JOIN c b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM o JOIN t p ON p.doc_id = x JOIN t q ON q.doc_id = y WHERE common >= {THRESHOLD} * (p.whole + q.whole - common)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+k AS (SELECT x, min(y) AS class_id FROM r GROUP BY x)
+SELECT doc_id, class_id, doc_id = class_id AS kept, CAST(len(w) AS BIGINT) AS n_words FROM d JOIN k ON doc_id = x
+"""

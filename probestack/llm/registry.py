@@ -7,7 +7,7 @@ from probestack.llm.langid import op1_language_id
 from probestack.llm.licenses import op5_licenses
 from probestack.llm.lm_score import op6_lm_score
 from probestack.llm.mixing import OP9_SQL, op9_mixing
-from probestack.llm.near_dedup import op8_near_dedup
+from probestack.llm.near_dedup import OP8_SQL, op8_near_dedup
 from probestack.llm.token_counts import op7_token_counts
 from probestack.llm.warc import OP10_SQL, op10_warc
 
@@ -27,6 +27,7 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_decontaminate": OP2_SQL,
     "op4_embed_dedup": OP4_SQL,
+    "op8_near_dedup": OP8_SQL,
     "op9_mixing": OP9_SQL,
     "op10_warc": OP10_SQL,
 }

@@ -1,12 +1,17 @@
+import os
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
-from probestack.llm.near_dedup import bag, near_duplicates, overlaps, signatures
+from probestack.llm.near_dedup import OP8_SQL, bag, near_duplicates, op8_near_dedup, overlaps, signatures, stage
 from probestack.llm.shared import components
 from probestack.llm.text import U, mix
 
+DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -68,10 +73,34 @@ def test_defined_cases(spark):
     rows = [(1, None), (2, ""), (3, "  ..."), (4, "Hello, world"), (5, "hello WORLD!"), (None, "hello world"), (7, long), (8, long + " b"), (4, "Hello, world")]
     frame = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, class_id string, kept int")
     got = sorted(((r.doc_id or 0, r.class_id or 0, r.kept) for r in near_duplicates(frame).collect()))
-    assert got == [(0, 0, True), (1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (5, 4, False), (7, 7, True), (8, 7, False)]
+    assert got == [(0, 4, False), (1, 1, True), (2, 2, True), (3, 3, True), (4, 4, True), (5, 4, False), (7, 7, True), (8, 7, False)]
     assert near_duplicates(frame.limit(0)).collect() == []
 
 
+def test_one_id_with_several_texts_and_rows_without_id(spark):
+    rnd = random.Random(9)
+    text = lambda: " ".join(f"u{rnd.randrange(10**6)}" for _ in range(60))
+    t, u, v = text(), text(), text()
+    rows = [(3, t), (7, t + " tail"), (7, u), (7, u), (None, v), (None, v + " tail"), (None, t), (None, None), (9, "..."), (9, ""), (7, u + ".")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id or 0, r.class_id or 0, r.kept) for r in near_duplicates(frame).collect()))
+    assert got[:4] == [(0, 0, False), (0, 0, True), (0, 0, True), (0, 3, False)]  # of the two near copies without an id one stays
+    assert got[4:] == [(3, 3, True), (7, 3, False), (7, 7, True), (9, 9, True)]
+    out = sorted((r.doc_id or 0, r.text or "") for r in stage(spark, frame.withColumn("class_id", F.lit("x")), "").select("doc_id", "text").collect())
+    mine = [(i, x) for i, x in out if i not in (0, 7)]
+    assert mine == [(3, t), (9, ""), (9, "...")] and [i for i, _ in out].count(7) == 1 and [i for i, _ in out].count(0) == 2
+    assert next(x for i, x in out if i == 7).rstrip(".") == u
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables here")
+def test_query_equals_sql_over_all_pairs(spark):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{DIR}/documents.parquet'")
+    want = con.execute(f"select doc_id, class_id, kept, n_words from ({OP8_SQL})").fetchall()
+    got = op8_near_dedup(spark, DIR).select("doc_id", "class_id", "kept", "n_words").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(1)
     n = 200
