@@ -1,4 +1,14 @@
-from probestack.llm.extract import extract, main_text, smoothed, two_means
+import os
+import time
+from html import unescape
+
+import pytest
+
+from probestack.llm import extract as module
+from probestack.llm.extract import extract, main_text, op3_extract, smoothed, two_means
+
+DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+PARA = "A sentence of ordinary length that says something or other about it. " * 3
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var x="</p>";</script></head><body>
 <header>Site name</header><nav><ul><li><a href="/a">Menu one</a><li><a href="/b">Menu two</a></ul></nav>
@@ -68,3 +78,64 @@ def test_all_seeds_are_kept_without_article():
         body = "".join(parts)
         got = main_text(f"<html><body>{nav}<div class=content>{body}</div><div class=footer>foot</div></body></html>")
         assert got.count("A sentence") == body.count("A sentence") and "foot" not in got and "x y" not in got
+
+
+@pytest.mark.parametrize("name", ["page has-sidebar", "no-sidebar", "post tags-news", "nav-open", "single-post social", "page share", "header-fixed comments-open", "sidebar"])
+def test_wrappers_never_empty_a_page(name):
+    body = f"<h1>Head</h1><p>{PARA}</p><p>ok</p><p>{PARA}</p>"
+    want = " ".join(f"Head {PARA} ok {PARA}".split())
+    assert main_text(f"<body><div class='{name}'><article>{body}</article><aside>x</aside></div></body>") == want
+    assert main_text(f"<body><div id='{name}'><div>{body}</div></div></body>") == want
+    assert main_text(f"<body><nav>x</nav><div class='{name}'><div class=post>{body}</div></div><div class=footer>foot</div></body>") == want
+
+
+def test_blocks_beside_the_article_stay_out():
+    body = f"<p>{PARA}</p><p>{PARA}</p>"
+    want = " ".join(f"{PARA} {PARA}".split())
+    for beside in (f"<section id=comments><article class=comment><p>{PARA * 9}</p></article></section>", f"<div class=related><article><p>{PARA}</p></article></div>", f"<div class='cookie-notice'><p>{PARA}</p></div>", f"<div><p>{PARA}</p></div>"):
+        assert main_text(f"<body>{beside}<article>{body}</article>{beside}</body>") == want
+
+
+def test_ratios_select(monkeypatch):
+    """Pages whose markup names nothing: what is content is decided by the smoothed ratios alone."""
+    menu = "<div><ul>" + "".join(f"<li><a href={i}>Entry {i}</a></li>" for i in range(8)) + "</ul></div>"
+    foot = "<div><span>Imprint</span> <span>Terms</span> <span>Help</span></div>"
+    bodies = [f"<div><h2>Head</h2><p>{PARA}</p><p>ok</p><p>{PARA}</p></div>", f"<div><p>{PARA}</p><div>{menu}</div><p>{PARA}</p></div>"]
+    wants = [" ".join(f"Head {PARA} ok {PARA}".split()), " ".join(f"{PARA} {PARA}".split())]
+    pages = [f"<body>{menu}{x}{foot}</body>" for x in bodies] + [f"<article><p>{PARA}</p>{menu}<p>{PARA}</p></article>"]
+    wants.append(wants[1])
+    assert [main_text(p) for p in pages] == wants
+    monkeypatch.setattr(module, "smoothed", lambda values, sigma=1.5: [1.0] * len(values))
+    assert all(main_text(p) != want for p, want in zip(pages[:2], wants, strict=False))
+
+
+def test_nesting_takes_linear_time():
+    began = time.time()
+    deep = "<div>x" * 160_000  # 1 MB of tags that nothing closes
+    assert main_text(deep).count("x") == 160_000
+    assert main_text("<b><div>" + "<i>" * 100_000 + "</b>" * 100_000 + "word").endswith("word")
+    assert main_text("<span>" * 100_000 + "</p></li></td>" * 50_000 + "word").endswith("word")
+    assert time.time() - began < 60
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables here")
+def test_query_gives_the_article_of_every_page(spark):
+    """The test pages have one article each, whose text blocks are read here by plain splitting."""
+    def plain(html):
+        inner = html.split("<article>")[1].split("</article>")[0]
+        text, at = [], 0
+        while at < len(inner):
+            if inner[at] == "<":
+                end = inner.index(">", at)
+                text.append("" if inner[at + 1 : end].strip("/").lower() in ("b", "i", "a", "em") else " ")
+                at = end + 1
+            else:
+                end = inner.find("<", at)
+                end = len(inner) if end < 0 else end
+                text.append(unescape(inner[at:end]))
+                at = end
+        return " ".join("".join(text).split())
+
+    want = {r.page_id: (r.url, plain(r.html) if r.html else "") for r in spark.read.parquet(f"{DIR}/pages.parquet").collect()}
+    got = {r.page_id: (r.url, r.text) for r in op3_extract(spark, DIR).collect()}
+    assert got == want and all(r.n_chars == len(r.text) for r in op3_extract(spark, DIR).collect())
