@@ -273,8 +273,8 @@ def vetoed_elements(page: Events) -> list[bool]:
 def seeds_of(lines: list[Line], useful: list[int]) -> set[int]:
     """Lines not mostly of links whose smoothed text-to-tag ratio lies in the upper of two clusters.
 
-    Of these, the ones whose own ratio comes near it (OWN of its logarithm), as smoothing lifts the
-    neighbours of a long line; all useful lines where no line is in the upper cluster.
+    Of these, the ones whose own ratio comes near the threshold of the ratios themselves (OWN of it, in
+    logarithms), as smoothing lifts the neighbours of a long line; all useful lines where none is left.
     """
     ratios = [0.0] * len(lines)
     for i in useful:
@@ -282,7 +282,8 @@ def seeds_of(lines: list[Line], useful: list[int]) -> set[int]:
     smooth = [math.log1p(x) for x in smoothed(ratios)]
     cut = two_means(smooth)
     upper = {i for i in useful if smooth[i] > cut and lines[i].links <= LINK_SHARE * len(lines[i].text)}
-    return {i for i in upper if math.log1p(ratios[i]) > OWN * cut} or upper or set(useful)
+    own = OWN * two_means([math.log1p(ratios[i]) for i in useful])
+    return {i for i in upper if math.log1p(ratios[i]) > own} or upper or set(useful)
 
 
 def main_text(html: str | None) -> str:
