@@ -136,6 +136,19 @@ def running_min(df: DataFrame, order: list[Column], value: str, name: str, parti
     return numbered.withColumn(name, F.least("_before", "_low")).drop("_range", "_within", "_low", "_before")
 
 
+def prefix_sums(df: DataFrame, order: list[Column], columns: dict[str, str], partitions: int | None = None) -> DataFrame:
+    """df with, for each column and name of columns, the column's sum over the rows before (0 for the first), dealt by range.
+
+    order must end in a unique key; it is a whole-table sum that never gathers the table in one task.
+    """
+    rows = dealt(df, order, partitions)
+    before = Window.partitionBy("_range").orderBy("_within").rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(name) for c, name in columns.items()])
+    for c, name in columns.items():
+        out = out.join(_carried(rows, F.sum(c), F.sum), "_range").withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_before")
+    return out.drop("_range", "_within")
+
+
 def best_by(df: DataFrame, keys: list[str], score: str, ties: list[str]) -> DataFrame:
     """The row of highest score of each key; equal scores go to the first in the order of ties. Null and NaN scores lose."""
     clean = F.when(F.isnan(score), None).otherwise(F.col(score))

@@ -127,6 +127,8 @@ def test_ranks_hold_when_written_with_other_columns(spark, tmp_path):
         low = min(low, (i * 7919) % 104_729)
         wrong += found[i] != low
     assert wrong == 0
+    sums = stats.prefix_sums(rows.select("id", "v"), [F.col("id")], {"v": "before"}, partitions=16)
+    assert sums.where("id % 99991 = 7").select("id", "before").orderBy("id").collect() == [(i, sum((j * 7919) % 104_729 for j in range(i))) for i in range(7, n, 99_991)]
     within = stats.rank_within(rows, ["k"], [F.col("v"), F.col("id")], partitions=16).groupBy("k").agg(F.count("*").alias("n"), F.count_distinct("rank").alias("d"), F.max("rank").alias("m")).collect()
     assert len(within) == 3 and all(r.n == r.d == r.m for r in within)
 
