@@ -71,7 +71,7 @@ class Notice:
         self.pattern = regex.compile(rf"(?e)(?<![^ ])(?:{regex.escape(phrase, literal_spaces=True)}){bound}(?![^ ])")
 
     def windows(self, text: str) -> list[tuple[int, int]]:
-        """Merged stretches of text that may hold a match."""
+        """Merged stretches of text, from one word's beginning to another's end, that hold every match."""
         found = []
         for offset, piece in self.pieces:
             at = text.find(piece)
@@ -81,40 +81,58 @@ class Notice:
         merged: list[tuple[int, int]] = []
         for a, b in sorted(found):
             if merged and a <= merged[-1][1]:
-                merged[-1] = merged[-1][0], max(b, merged[-1][1])
+                if b <= merged[-1][1]:
+                    continue
+                a = merged.pop()[0]
             else:
-                merged.append((a, b))
+                a = text.rfind(" ", 0, a) + 1
+            end = text.find(" ", b)
+            merged.append((a, len(text) if end < 0 else end))
         return merged
 
     def matches(self, text: str) -> Iterator[tuple[int, int, int]]:
-        """start, end and edits of each verified match."""
+        """start, end and edits of each verified match, in order."""
         for a, b in self.windows(text):
-            for m in self.pattern.finditer(text, a, min(b, len(text))):
-                # The pattern looks at the window alone: the words around must end there too.
-                if (m.start() == 0 or text[m.start() - 1] == " ") and (m.end() == len(text) or text[m.end()] == " "):
-                    yield m.start(), m.end(), sum(m.fuzzy_counts)
+            for m in self.pattern.finditer(text, a, b):
+                yield m.start(), m.end(), sum(m.fuzzy_counts)
+
+
+class Words:
+    """Counts words up to rising places of a text, reading it once."""
+
+    def __init__(self, text: str):
+        self.text, self.at, self.n = text, 0, 0
+
+    def before(self, place: int) -> int:
+        if place < self.at:
+            self.at = self.n = 0
+        self.n += self.text.count(" ", self.at, place)
+        self.at = place
+        return self.n
 
 
 ALL = [Notice(p, x) for p, x in (BASE | NOTICES).items()]
 
 
-def base_places(text: str) -> list[tuple[str, int]]:
+def base_places(text: str, base: dict[str, str] = BASE) -> list[tuple[str, int]]:
     """label and first word of every place of a base phrase."""
     out, padded = [], f" {text} "
-    for phrase, label in BASE.items():
-        at = padded.find(f" {phrase} ")
+    for phrase, label in base.items():
+        words, at = Words(text), padded.find(f" {phrase} ")
         while at >= 0:
-            out.append((label, padded.count(" ", 1, at + 1)))
+            out.append((label, words.before(at)))
             at = padded.find(f" {phrase} ", at + 1)
     return sorted(out, key=lambda x: x[1])
 
 
 def fuzzy_spans(text: str, notices: list[Notice] = ALL) -> list[Span]:
-    return [
-        Span(n.label, n.phrase, first := text.count(" ", 0, a), first + text.count(" ", a, b) + 1, edits)
-        for n in notices
-        for a, b, edits in n.matches(text)
-    ]
+    out = []
+    for n in notices:
+        words = Words(text)
+        for a, b, edits in n.matches(text):
+            first = words.before(a)
+            out.append(Span(n.label, n.phrase, first, first + text.count(" ", a, b) + 1, edits))
+    return out
 
 
 SCHEMA = (
@@ -123,21 +141,28 @@ SCHEMA = (
 )
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-            words = joined_words(text)
-            n = words.count(" ") + 1 if words else 0
-            places = [{"label": x, "word": w} for x, w in base_places(words)]
-            rows.append((None if pd.isna(doc_id) else int(doc_id), n, places, [x._asdict() for x in fuzzy_spans(words)]))
-        out = pd.DataFrame(rows, columns=["doc_id", "n_words", "places", "spans"])
-        yield out.astype({"doc_id": "Int64", "n_words": "int64"})
+def _scan(base: dict[str, str], notices: dict[str, str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        all_notices = [Notice(p, x) for p, x in (base | notices).items()]
+        for pdf in batches:
+            rows = []
+            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+                words = joined_words(text)
+                n = words.count(" ") + 1 if words else 0
+                places = [{"label": x, "word": w} for x, w in base_places(words, base)]
+                rows.append((None if pd.isna(doc_id) else int(doc_id), n, places, [x._asdict() for x in fuzzy_spans(words, all_notices)]))
+            out = pd.DataFrame(rows, columns=["doc_id", "n_words", "places", "spans"])
+            yield out.astype({"doc_id": "Int64", "n_words": "int64"})
+
+    return run
+
 
+def scan_licenses(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[str, str] = NOTICES) -> DataFrame:
+    """doc_id, n_words, places (of base phrases) and spans (of all notices, with edits) of each row of docs.
 
-def scan_licenses(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, places (of base phrases) and spans (of all notices, with edits) of each row of docs."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_scan, SCHEMA)
+    base and notices map phrases, as their words joined by spaces, to labels.
+    """
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_scan(base, notices), SCHEMA)
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
