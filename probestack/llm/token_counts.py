@@ -1,14 +1,17 @@
 """Token counts that follow edits.
 
-A text is cut into leaves at places where pre-tokenisation always begins anew: before a single space
-between two characters that are not white space. Whether a place is such a cut depends on those three
-characters alone, and no token crosses it. Leaves (of LEAF_CHARS characters or a little more, each a
-run of whole pre-tokens) are the ends of a segment tree that sums characters and tokens.
+A text is cut into leaves at places where pre-tokenisation always begins anew, whatever stands further
+off: before a single white-space character between two others, between a letter or digit and a
+punctuation mark, between a letter and a digit, and between any mark but an apostrophe and a letter or
+digit. No token crosses such a place. Leaves (of LEAF_CHARS characters or a little more, each a run of
+whole pre-tokens) are the ends of a segment tree that sums characters and tokens. A run of letters
+without such a place, like a Chinese clause, is one pre-token and one leaf.
 
 An edit replaces a stretch of characters. The tree finds the leaves it touches; they and the leaf on
 either side (the boundary context, as the edit may join or part pre-tokens there) are joined, edited,
-encoded again and stored, and sums change along their paths to the root. Everything else keeps its
-count. Counts equal those of encoding the edited text as a whole.
+encoded again and stored, and sums change along their paths to the root. Where they have grown by more
+than SPLIT leaves' length, the text is dealt to more leaves and the tree's sums are made anew; no other
+leaf is encoded for that. Everything else keeps its count. Counts equal those of encoding the edited text as a whole.
 
 The vocabulary is a file of byte-pair ranks named by a parameter; the driver reads it and broadcasts
 its bytes (at most MAX_VOCABULARY_BYTES). Strings of special tokens are ordinary text.
@@ -21,10 +24,10 @@ repeated rows and null doc_ids come out as they came in; other columns are ignor
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +38,8 @@ MAX_VOCABULARY_BYTES = 16 << 20
 #: Fixed value: how the vocabulary's texts are cut into pre-tokens.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LEAF_CHARS = 128
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+SPLIT = 4
+_CUT = regex.compile(r"(?<=\S)(?=\s\S)|(?<=[\p{L}\p{N}])(?=[^\s\p{L}\p{N}])|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])")
 
 
 def encoder(vocabulary: bytes):
@@ -60,13 +64,17 @@ class TokenTree:
     """Segment tree over a text's leaves, with sums of characters and tokens."""
 
     def __init__(self, text: str, count, leaf_chars: int = LEAF_CHARS):
-        self.count = count
-        self.leaves = leaves_of(text, leaf_chars) or [""]
-        self.size = 1 << (len(self.leaves) - 1).bit_length()
-        pad = [0] * (self.size - len(self.leaves))
-        self.chars = [0] * self.size + [len(x) for x in self.leaves] + pad
-        self.tokens = [0] * self.size + [count(x) for x in self.leaves] + pad
+        self.count, self.leaf_chars = count, leaf_chars
+        leaves = leaves_of(text, leaf_chars) or [""]
+        self._build(leaves, [count(x) for x in leaves])
         self.encoded = 0  # leaves encoded again since
+
+    def _build(self, leaves: list[str], tokens: list[int]) -> None:
+        self.leaves = leaves
+        self.size = 1 << (len(leaves) - 1).bit_length()
+        pad = [0] * (self.size - len(leaves))
+        self.chars = [0] * self.size + [len(x) for x in leaves] + pad
+        self.tokens = [0] * self.size + tokens + pad
         for node in range(self.size - 1, 0, -1):
             self._sum(node)
 
@@ -120,9 +128,14 @@ class TokenTree:
             last = right
         whole = "".join(self.leaves[first : last + 1])
         whole = whole[: start - before] + text + whole[stop - before :]
-        # The pieces fill the touched leaves; if there are more, the last leaf holds the rest.
-        pieces = leaves_of(whole)
+        # The pieces fill the touched leaves; the last holds what is left over, unless that has grown too long.
+        pieces = leaves_of(whole, self.leaf_chars)
         room = last - first + 1
+        if sum(map(len, pieces[room - 1 :])) > SPLIT * self.leaf_chars and len(pieces) > room:
+            tokens = self.tokens[self.size : self.size + len(self.leaves)]
+            self.encoded += len(pieces)
+            self._build(self.leaves[:first] + pieces + self.leaves[last + 1 :], tokens[:first] + [self.count(x) for x in pieces] + tokens[last + 1 :])
+            return
         pieces = pieces[: room - 1] + ["".join(pieces[room - 1 :])]
         for i in range(room):
             self._store(first + i, pieces[i] if i < len(pieces) else "")
@@ -188,5 +201,6 @@ def example_edits(doc_id, text):
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every text before and after EDITS; documents bring no edits, so the query makes them up from doc_id."""
     docs = read_table(spark, sf_dir, "documents")
     return count_tokens(docs.select("doc_id", "text", example_edits(F.col("doc_id"), F.col("text")).alias("edits")))

@@ -15,7 +15,7 @@ def count():
 
 def test_edits_equal_encoding_anew(count):
     rnd = random.Random(1)
-    alphabet = " \n\tab'sllÜé42  .,!日本<|endoftext|>"
+    alphabet = " \n\tab'sllÜé42  .,!日本<|endoftext|>'’\r\u00a0\u0301\u2028"
     for size in (1, 16, 128):
         for _ in range(40):
             text = "".join(rnd.choices(alphabet, k=rnd.randrange(0, 900)))
@@ -58,3 +58,24 @@ def test_rows(spark, count):
         assert (r.n_tokens, r.n_tokens_edited, r.n_chars_edited, r.n_edits) == (count(text or ""), count(after), len(after), len(edits))
     assert by_id[None].n_edits == 0 and by_id[3].n_edits == len(EDITS)
     assert count_tokens(edited.limit(0)).collect() == []
+
+
+def test_texts_without_spaces_and_long_insertions(count):
+    rnd = random.Random(4)
+    for text in ("\u6f22\u5b57\u3068\u8a00\u8449\u3002" * 5_000, "0a1b2c3d" * 4_000, "x_y-z.(w)" * 4_000, "line\nline\tline\n" * 2_000):
+        tree = TokenTree(text, count)
+        assert len(tree.leaves) > 100 and tree.n_tokens == count(text)
+        before = tree.encoded
+        tree.edit(9_000, 9_003, "new")
+        assert tree.encoded - before <= 4 and tree.n_tokens == count(text[:9_000] + "new" + text[9_003:])
+    text = "some words in a row " * 1_000
+    tree = TokenTree(text, count)
+    text = text[:10_000] + "inserted words, " * 50_000 + text[10_000:]
+    tree.edit(10_000, 10_000, "inserted words, " * 50_000)
+    assert tree.n_tokens == count(text) and max(map(len, tree.leaves)) < 600
+    for _ in range(20):
+        at, before = rnd.randrange(len(text)), tree.encoded
+        tree.edit(at, at + 3, "!x")
+        text = text[:at] + "!x" + text[at + 3 :]
+        assert tree.encoded - before <= 8
+    assert tree.text() == text and tree.n_tokens == count(text)
