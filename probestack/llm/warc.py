@@ -43,6 +43,8 @@ ROLL_BYTES = 32 << 20
 #: Archives are dealt to that many tasks at most when they are read.
 READ_TASKS = 20_000
 BLOCK = 1 << 16
+#: The first block of a member, doubled up to BLOCK: a false mark costs little.
+FIRST_BLOCK = 256
 CRLF = b"\r\n"
 
 
@@ -182,14 +184,14 @@ class _Member:
     """The content of the gzip member at a window's start, as a stream."""
 
     def __init__(self, window: _Window):
-        self.window, self.unpack, self.at, self.last, self.bad = window, zlib.decompressobj(31), 0, 0, ""
+        self.window, self.unpack, self.at, self.last, self.bad, self.step = window, zlib.decompressobj(31), 0, 0, "", FIRST_BLOCK
 
     def read(self, n: int) -> bytes:
         while not self.unpack.eof:
             if self.bad or not self.window.need(self.at + 1):
                 raise _Cut(self.bad or "cut short")
-            chunk, before = bytes(self.window.data[self.at : self.at + BLOCK]), self.unpack.copy()
-            self.last = self.at
+            chunk, before = bytes(self.window.data[self.at : self.at + self.step]), self.unpack.copy()
+            self.last, self.step = self.at, min(2 * self.step, BLOCK)
             self.at += len(chunk)
             try:
                 out = self.unpack.decompress(chunk)

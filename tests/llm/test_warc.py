@@ -124,3 +124,14 @@ def test_long_urls_and_archives_that_read_back_otherwise(spark, tmp_path):
     bad = spark.createDataFrame([(str(tmp_path / "bad.warc.gz"), 1)], "path string, records long")
     with pytest.raises(Exception, match="unreadable at"):
         read_archives(bad, whole_only=True).collect()
+
+
+def test_false_marks_cost_little():
+    import time
+
+    noise = b"\x1f\x8b\x08\x00" * 40_000
+    began = time.time()
+    m = members(3)
+    ids, gaps = read(m[0] + noise + m[1] + m[2])
+    assert ids == [0, 1, 2] and sum(n for _, n in gaps) == len(noise)
+    assert time.time() - began < 20
