@@ -45,6 +45,12 @@ def rotation(dims: int, sample: np.ndarray | None) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng(dims).standard_normal((dims, dims)))[0]
 
 
+def _unit(rows: np.ndarray) -> np.ndarray:
+    rows = rows.astype(np.float64)
+    rows = np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1])
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
 def blocks_of(dims: int) -> list[np.ndarray]:
     n = max(1, -(-dims // BLOCK_DIMS))
     return [np.arange(b, dims, n) for b in range(n)]
@@ -66,9 +72,12 @@ class Geometry:
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
-    """Rows of equal length as float64."""
+    """Rows of equal length as float64, each scaled by a power of two (exactly) to components of at most 1."""
     chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
-    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(c), dims) for c in chunks]) if len(column) else np.zeros((0, dims))
+    if not len(column):
+        return np.zeros((0, dims))
+    rows = np.concatenate([c.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(c), dims) for c in chunks])
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1])
 
 
 def _slabs(geometry: Geometry):
@@ -157,14 +166,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, chunk: int
     kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("vec"), F.col("label").cast("string").alias("label"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    norm = F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
-    fit = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("vec").isNotNull() & finite & (norm > 0) & (norm < float("inf")), F.lit(False))
+    zero = F.forall("vec", lambda x: x == 0)
+    fit = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("vec").isNotNull() & finite & ~zero, F.lit(False))
     rows = scratch(rows.withColumn("fit", fit).distinct(), "vectors")
     valid = rows.where("fit").select("vec_id", "label", "vec")
     reps = scratch(valid.groupBy("label", "vec").agg(F.min("vec_id").alias("id"), F.count("*").alias("times")).withColumn("dims", F.size("vec")), "representatives")
 
     sample = reps.orderBy(F.xxhash64("id")).select("dims", "vec").limit(SAMPLE).toPandas()
-    geometry = Geometry(threshold, {int(d): np.stack(g["vec"].to_list()).astype(float) for d, g in sample.groupby("dims")} if len(sample) else {})
+    geometry = Geometry(threshold, {int(d): _unit(np.stack(g["vec"].to_list())) for d, g in sample.groupby("dims")} if len(sample) else {})
 
     slabs = scratch(reps.mapInArrow(_slabs(geometry), f"id long, label string, dims int, block int, slab int, times long, vec {kind}"), "slabs")
     key = ["label", "dims", "block"]

@@ -53,3 +53,9 @@ def test_each_pair_in_one_block_only():
     seen = [(int(a), int(b)) for block in range(4) for i, j in linked(v.astype(float), v.astype(float), block, True, g) for a, b in zip(i, j, strict=True)]
     links, _ = brute_force(v, np.zeros(len(v)))
     assert len(seen) == len(set(seen)) == links.sum() // 2
+
+
+def test_double_vectors_of_any_finite_size(spark):
+    rows = [(1, [1e200, 1e200], 1), (2, [1e-200, 1e-200], 1), (3, [1.0, 1.05], 1), (4, [5e-324, 0.0], 1), (5, [1e308, 1e300], 1), (6, [0.0, -0.0], 1)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 1, 4), (5, 1, 4), (6, 0, 6)]
