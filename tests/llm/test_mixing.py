@@ -54,3 +54,29 @@ def test_defined_cases(spark):
     assert len(got) == 5 and sorted(r.size for r in got) == [0, 0, 0, 2, 100_000]
     assert mix_plan(frame.limit(0)).collect() == [] and mix(frame.limit(0)).collect() == []
     assert sorted(r.doc_id for r in mix(spark.createDataFrame([(1, None, "a")], frame.schema)).collect()) == []
+
+
+def test_many_sources_without_a_broadcast_and_null_ids(spark, monkeypatch):
+    import statistics
+
+    from probestack.llm import mixing
+
+    rows = [(None if i % 2 else i, "w " * (1 + i % 17) + f"t{i}", f"s{i % 40}" if i % 3 else "hot") for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    want = sorted(map(repr, mix_plan(frame).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    got = mix_plan(frame).collect()
+    assert sorted(map(repr, got)) == want
+    nulls = [r.copies for r in got if r.doc_id is None and 0 < r.target / r.source_size % 1 < 1]
+    assert 0 < statistics.pstdev(nulls)  # rows without a doc_id don't draw alike
+
+
+def test_one_draw_is_far_off_where_sixteen_are_near(spark):
+    """Why more than one seed: small sources of uneven documents."""
+    rows = [(i, "w " * (1 + (i * 7919 % 97) ** 2), f"s{i % 20}") for i in range(1000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    off = {}
+    for seeds in (1, 16):
+        per = mix_plan(frame, seeds=seeds).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+        off[seeds] = max(abs(r.taken - r.target) / r.target for r in per)
+    assert off[1] > 0.1 and off[16] < 0.05
