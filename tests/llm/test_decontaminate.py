@@ -2,9 +2,10 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from probestack.llm import decontaminate
-from probestack.llm.decontaminate import contaminated
+from probestack.llm.decontaminate import contaminated, stage
 
 rnd = random.Random(2)
 ITEM = [f"q{i}" for i in range(30)]
@@ -49,13 +50,28 @@ def test_substitutions_insertions_and_clean_texts(spark, monkeypatch, most):
 def test_short_items_repeats_and_empty_tables(spark):
     short = "alpha beta gamma delta epsilon zeta"
     got = run(spark, [(1, f"x {short} y"), (2, "alpha beta gamma delta"), (3, short)], [(5, short), (5, short), (6, "alpha beta gamma delta")])
-    assert got == {(1, 5): (6, 6), (3, 5): (6, 6)}
+    assert got == {(1, 5): (6, 6), (3, 5): (6, 6), (1, 6): (4, 4), (2, 6): (4, 4), (3, 6): (4, 4)}
+    tiny = [(1, "beta"), (2, "Gamma, delta"), (3, "a b c"), (4, "zeta alpha"), (5, "...")]
+    assert run(spark, [(1, "alpha beta gamma delta alpha beta"), (2, "x y"), (3, None)], tiny) == {(1, 1): (1, 1), (1, 2): (2, 2)}
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert contaminated(empty, spark.createDataFrame([(1, short)], "item_id long, text string")).collect() == []
     docs = spark.createDataFrame([(1, short)], "doc_id long, text string")
     assert contaminated(docs, spark.createDataFrame([], "item_id long, text string")).collect() == []
 
 
+def test_stage_goes_by_text(spark, tmp_path):
+    item = " ".join(ITEM)
+    spark.createDataFrame([(1, item), (2, "one two"), (3, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    far = " ".join(noise(60_000))
+    rows = [(None, item, "a"), (None, "one two three", "b"), (5, item, "c"), (5, "clean text of its own", "d"), (6, None, "e"), (7, f"{far} {item} {far}", "f"), (8, far, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
+    out = stage(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and sorted(r.item_id for r in out.collect()) == ["b", "d", "e", "g"]
+    assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
+    got = contaminated(docs.withColumnRenamed("item_id", "overlap"), spark.read.parquet(f"{tmp_path}/benchmark.parquet").withColumn("doc_id", F.lit("x"))).collect()
+    assert sorted((r.doc_id or 0, r.item_id) for r in got) == [(0, 1), (0, 2), (5, 1), (7, 1)]
+
+
 def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, " ".join(ITEM))], "doc_id long, text string")
     plan = contaminated(docs, spark.createDataFrame([(1, " ".join(ITEM))], "item_id long, text string"))._jdf.queryExecution().toString()
