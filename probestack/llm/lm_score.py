@@ -48,8 +48,11 @@ FREQUENT = 100_000
 BUCKET_BYTES = 8 << 20
 GROUP_BYTES = 6 << 20
 GROUP_ENTRIES = 200_000
-#: Text of a chunk, whose distinct n-grams are probed together.
+#: Text of a chunk, whose distinct n-grams are probed together, and the most rows of one (a power of two).
 CHUNK_BYTES = 4 << 20
+ROW_BITS = 20
+#: Chunks that one partition may have, as a power of two.
+CHUNK_BITS = 23
 END, START = U(0x0E4D0E4D0E4D0E4D), U(0x57A2757A2757A275)
 _LEFT, _RIGHT = U(0x9E6C63D0876A9A47), U(0xC13FA9A902A6328F)
 
@@ -206,8 +209,8 @@ CHUNK_SCHEMA = "chunk long, texts binary"
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in chunks of about CHUNK_BYTES of text: a number and the rows as one compressed stream."""
-    number = TaskContext.get().partitionId() << 32
-    held, size = [], 0
+    number = TaskContext.get().partitionId() << CHUNK_BITS
+    held, size, rows = [], 0, 0
 
     def pack() -> pa.RecordBatch:
         sink = pa.BufferOutputStream()
@@ -217,15 +220,24 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "texts"])
 
     for batch in bounded(batches, "text", CHUNK_BYTES):
+        if rows + batch.num_rows > 1 << ROW_BITS:
+            yield pack()
+            held, size, rows, number = [], 0, 0, number + 1
         held.append(batch)
+        rows += batch.num_rows
         size += int(pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0)
         if size >= CHUNK_BYTES:
             yield pack()
-            held, size, number = [], 0, number + 1
+            held, size, rows, number = [], 0, 0, number + 1
     if held:
         yield pack()
 
 
+def row_keys(chunk: int, rows: int) -> np.ndarray:
+    """A number of its own for every row of every chunk."""
+    return (chunk << ROW_BITS) + np.arange(rows, dtype=np.int64)
+
+
 def _unpack(texts: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(texts).read_all().combine_chunks().to_batches()[0]
 
@@ -375,7 +387,7 @@ def frequent_tokens(docs: DataFrame, sample: int = SAMPLE, most: int = FREQUENT)
             keys, n = _summed(_in_texts(tokens))
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["token", "n"])
 
-    by = F.xxhash64("key")
+    by = F.xxhash64("doc_id", "text")
     lowest = docs.select(by.alias("by")).orderBy("by").limit(sample).agg(F.max("by"), F.count("*")).first()
     some = docs.where(by <= lowest[0]) if lowest[1] >= sample else docs
     counts = some.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where("n >= 3")
@@ -401,17 +413,27 @@ def _score(model):
             tokens.counts.astype(np.int64),
             np.add.reduceat((count > 0).astype(np.int64), starts),
             np.add.reduceat(np.log10(count + 1.0) * hot, starts),
-            np.add.reduceat((~hot).astype(np.int64), starts),
             np.add.reduceat(m.log_probabilities(tokens, answers), starts),
         ]
         return pa.table(
-            [batch.column("key"), batch.column("doc_id"), batch.column("held_out"), *map(pa.array, columns)],
-            names=["key", "doc_id", "held_out", "n_tokens", "hot_known", "hot_sum", "n_rare", "score"],
+            [pa.array(row_keys(chunk.column("chunk")[0].as_py(), batch.num_rows)), batch.column("doc_id"), batch.column("held_out"), *map(pa.array, columns)],
+            names=["key", "doc_id", "held_out", "n_tokens", "hot_known", "hot_sum", "score"],
         )
 
     return run
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of the rows of chunks, with the rows' numbers."""
+    for chunks in batches:
+        for chunk, texts in zip(chunks.column("chunk").to_pylist(), chunks.column("texts"), strict=True):
+            whole, at = _unpack(texts.as_buffer()), 0
+            keys = row_keys(chunk, whole.num_rows)
+            for batch in bounded(iter([whole]), "text"):
+                yield batch, keys[at : at + batch.num_rows]
+                at += batch.num_rows
+
+
 def _rare(model):
     """(token, text, count) of the tokens that are not frequent, as blobs; a held-out text's counts are negative."""
 
@@ -422,7 +444,7 @@ def _rare(model):
             token, key, n = (np.concatenate(x) for x in zip(*held, strict=True))
             return _blobs(0, m.buckets, bucket_of(token, m.buckets), token, key, n)
 
-        for batch in bounded(batches, "text"):
+        for batch, keys in _pieces(batches):
             tokens = tokens_of(batch.column("text"))
             rare = ~m.exact(tokens.token)[1]
             token, doc = tokens.token[rare], tokens.doc[rare]
@@ -433,9 +455,8 @@ def _rare(model):
             starts = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (doc[1:] != doc[:-1])]))
             n = np.diff(np.append(starts, len(token)))
             token, doc = token[starts], doc[starts]
-            key = batch.column("key").to_numpy()[doc]
             n = np.where(batch.column("held_out").to_numpy(zero_copy_only=False)[doc], -n, n).astype(np.int32)
-            held.append((token, key, n))
+            held.append((token, keys[doc], n))
             size += len(token)
             if size >= GROUP_ENTRIES:
                 yield flush()
@@ -458,29 +479,25 @@ def _lookup(table: pa.Table) -> pa.Table:
     key, n, count = key[order], n[order], count[order]
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     add = lambda x: pa.array(np.add.reduceat(x, starts))
-    return pa.table({"key": pa.array(key[starts]), "rare": add(n), "rare_known": add(n * (count > 0)), "rare_sum": add(n * np.log10(count + 1.0))})
+    return pa.table({"key": pa.array(key[starts]), "rare_known": add(n * (count > 0)), "rare_sum": add(n * np.log10(count + 1.0))})
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
     """Score docs (doc_id, text, held_out) with a model of those not held out; a row per row of docs."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "held_out")
-    docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    chunks = scratch(docs.select("key", "doc_id", "held_out", "text").mapInArrow(_chunks, CHUNK_SCHEMA), "chunks")
+    chunks = scratch(docs.select("doc_id", "held_out", "text").mapInArrow(_chunks, CHUNK_SCHEMA), "chunks")
     fitted, levels = fit(docs.where("not held_out"), chunks, frequent_tokens(docs), buckets)
     model = spark.sparkContext.broadcast(fitted)
     whole = fitted.whole
-    near = chunks.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(_score(model), "key long, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_sum double, n_rare long, score double")
-    blobs = docs.select("key", "held_out", "text").mapInArrow(_rare(model), BLOB_SCHEMA)
-    far = blobs.groupBy("bucket").applyInArrow(_lookup, "key long, rare long, rare_known long, rare_sum double")
-    far = far.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("rare", "rare_known", "rare_sum")])
-    # Rows that repeat share a key: their sums are divided by the number of rows.
-    rows = F.greatest(F.coalesce(F.try_divide("rare", "n_rare"), F.lit(1.0)), F.lit(1.0))
-    both = near.join(far, "key", "left").withColumn("rows", rows)
-    known = F.col("hot_known") + F.coalesce(F.round(F.col("rare_known") / F.col("rows")).cast("long"), F.lit(0))
-    base = F.col("hot_sum") + F.coalesce(F.col("rare_sum") / F.col("rows"), F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(whole)))
+    near = chunks.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(_score(model), "key long, doc_id long, held_out boolean, n_tokens long, hot_known long, hot_sum double, score double")
+    far = chunks.mapInArrow(_rare(model), BLOB_SCHEMA).groupBy("bucket").applyInArrow(_lookup, "key long, rare_known long, rare_sum double")
+    far = far.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("rare_known", "rare_sum")])
+    both = near.join(far, "key", "left")
+    known = F.col("hot_known") + F.coalesce("rare_known", F.lit(0))
+    base = F.col("hot_sum") + F.coalesce("rare_sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(whole)))
     return both.select("doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(fitted.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
