@@ -304,7 +304,8 @@ def classed(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, b
     keeps = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("d1") == F.col("b1")) & (F.col("d2") == F.col("b2"))
     columns = ["doc_id", "d1", "d2", "k1", "k2", "n", "class_id", "kept", "n_words"]
     raw = F.min(F.struct("k1", "k2")).alias("raw")
-    grouped = worded.groupBy("doc_id", "d1", "d2", "n_words").agg(F.count("*").alias("n"), raw).select("*", "raw.*")
+    # Written before the join, which the engine can then split where a text has very many copies.
+    grouped = scratch(worded.groupBy("doc_id", "d1", "d2", "n_words").agg(F.count("*").alias("n"), raw).select("*", "raw.*").drop("raw"), "members")
     grouped = grouped.join(of_text.hint("merge"), ["d1", "d2"]).withColumn("kept", keeps)
     alone = signed.where("n_words = 0").groupBy("doc_id", "d1", "d2", "n_words", "k1", "k2").agg(F.count("*").alias("n"))
     alone = alone.withColumn("class_id", F.col("doc_id")).withColumn("kept", F.lit(True))
