@@ -47,6 +47,8 @@ MOST_PER_WORD = 8.0
 MIN_SCORE = 0.5
 #: Words remembered per worker, so that memory stays bounded.
 CACHE = 200_000
+#: Parts of a language whose smallest hashes are found apart.
+PARTS = 64
 #: Most languages whose thresholds are broadcast.
 BROADCAST_LANGUAGES = 10_000
 _BREAK = r"[^\p{L}\p{M}]+"
@@ -241,8 +243,11 @@ class Memo:
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on the sample rows of smallest hash of each language of labelled (doc_id, text, lang)."""
     rows = labelled.where("lang is not null").select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("doc_id", "text").alias("by"))
-    # Each task hands on its sample smallest hashes of a language at most, so a language that most rows have is no burden.
-    least = rows.select("lang", "by").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("by"))).where(F.col("k") <= sample)
+    # Each task hands on the sample smallest hashes of a language and part of it at most, and each part the
+    # same, so a language that most rows have is no burden, however many tasks there are.
+    least = rows.select("lang", "by", F.pmod("by", F.lit(PARTS)).alias("part"))
+    for keys in (["lang", "part"], ["lang"]):
+        least = least.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("by"))).where(F.col("k") <= sample)
     upto = scratch(least.groupBy("lang").agg(F.max("by").alias("upto")), "thresholds")
     chosen = rows.join(small_side(upto, BROADCAST_LANGUAGES), "lang").where("by <= upto").dropDuplicates(["lang", "by"])
     words = chosen.select("lang", "text").mapInArrow(_tally, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
