@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def vector_means(df: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
+    """keys, vec, n: the mean vector of each key. Each task hands on one sum per key, whatever the rows and dimensions.
+
+    Rows with a null vector or a null component are left out; vectors of a key have one length.
+    """
+    whole = df.where(F.col(vec).isNotNull() & F.forall(F.col(vec), lambda x: x.isNotNull()))
+    summed = whole.withColumn("_v", array_to_vector(F.col(vec).cast("array<double>")))
+    return summed.groupBy(*keys).agg(Summarizer.mean(F.col("_v")).alias("_m"), F.count("*").alias("n")).select(*keys, vector_to_array("_m").alias("vec"), "n")
+
+
 def mean_vectors(df: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
-    """keys, dim, value, n: the mean of each component; long form, so sums are partial on the map side."""
-    flat = df.select(*keys, F.posexplode(F.col(vec).cast("array<double>")).alias("dim", "x"))
-    return flat.groupBy(*keys, "dim").agg(F.avg("x").alias("value"), F.count("*").alias("n"))
+    """keys, dim, value, n: the mean of each component, in long form, by way of vector_means."""
+    return vector_means(df, keys, vec).select(*keys, F.posexplode("vec").alias("dim", "value"), "n")
 
 
 def as_vectors(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:

@@ -63,12 +63,17 @@ def _with_key(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     return rows.alias("_own").join(other.alias("_key"), same).select("_own.*", *[F.col(f"_key.{c}") for c in other.columns if c not in keys])
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson's correlation as an aggregate; null where a side does not vary."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y)))
+
+
 def spearman(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
-    """keys, n, rho over the rows that have both values."""
+    """keys, n, rho over the rows that have both values; rho is null where a side does not vary."""
     keys = keys or []
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
     ranked = average_rank(average_rank(rows, x, "_x", keys), y, "_y", keys)
-    return (ranked.groupBy(*keys) if keys else ranked.groupBy()).agg(F.count("*").alias("n"), F.corr("_x", "_y").alias("rho"))
+    return (ranked.groupBy(*keys) if keys else ranked.groupBy()).agg(F.count("*").alias("n"), correlation(F.col("_x"), F.col("_y")).alias("rho"))
 
 
 def averages(scores: DataFrame, value: str = "rho", weight: str = "n") -> DataFrame:
@@ -162,11 +167,16 @@ def nearest_centroid(train: DataFrame, evaluate: DataFrame, keys: list[str], lab
     Centroids are one row per key and label; they are gathered per key into one array and joined on the
     key, so no row is multiplied by the number of labels in a shuffle.
     """
+    from probestack.operators.pooling import vector_means
+
+    return assign_nearest(vector_means(train, [*keys, label], vec), evaluate, keys, label, vec)
+
+
+def assign_nearest(centroids: DataFrame, evaluate: DataFrame, keys: list[str], label: str, vec: str) -> DataFrame:
+    """evaluate's rows with `assigned`, the label of the nearest of centroids (keys, label, vec); ties: the smallest label."""
     from probestack.functions.vectors import squared_distance
-    from probestack.operators.pooling import as_vectors, mean_vectors
 
-    centroids = as_vectors(mean_vectors(train, [*keys, label], vec), [*keys, label])
     gathered = centroids.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(label).alias("c"), F.col("vec").alias("at")))).alias("centres"))
-    joined = evaluate.join(gathered, keys)
+    joined = evaluate.join(gathered, keys) if keys else evaluate.crossJoin(F.broadcast(gathered))  # one row
     scored = F.transform("centres", lambda s: F.struct(squared_distance(F.col(vec), s["at"]).alias("d"), s["c"].alias("c")))
     return joined.withColumn("assigned", F.array_min(scored)["c"]).drop("centres")

@@ -55,8 +55,12 @@ def views(experiment: str, reps: DataFrame, second: DataFrame, max_per_label: in
     return rows.select("row_id", "label", "layer", "v1", "v2")
 
 
-def run_cca(experiment: str, reps: DataFrame, second: DataFrame, max_per_label: int | None = None, seed: str = "0") -> DataFrame:
-    """layer, score, n_trials for every layer of reps (row_id, label, layer, vec), all in one job."""
+def run_cca(experiment: str, reps: DataFrame, second: DataFrame, max_per_label: int | None = None, seed: str = "0", folds: DataFrame | None = None, mean_of_views: bool = False) -> DataFrame:
+    """layer, score, n_trials for every layer of reps (row_id, label, layer, vec), all in one job.
+
+    folds (row_id, fold), as read_folds gives them, replace the folds drawn by seed.
+    """
     rows = views(experiment, reps, second, max_per_label)
-    folds = stratified_folds(rows.select("row_id", "label").distinct(), "label", "row_id", seed=seed).select("row_id", "fold")
-    return cca_cv(fold_moments(rows.join(folds, "row_id"), ["layer"]), ["layer"])
+    if folds is None:
+        folds = stratified_folds(rows.select("row_id", "label").distinct(), "label", "row_id", seed=seed).select("row_id", "fold")
+    return cca_cv(fold_moments(rows.join(folds, "row_id"), ["layer"]), ["layer"], mean_of_views)

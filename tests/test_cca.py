@@ -3,6 +3,8 @@ import pytest
 
 from probestack.operators import cca
 from probestack.plans.experiments import run_cca, views
+from probestack.sources.readers import read_folds, read_parameters
+from probestack.sources.writers import write_table
 
 rng = np.random.default_rng(0)
 
@@ -76,3 +78,75 @@ def test_experiments(spark):
     assert kept.count() == 2 * 40 and {r.label for r in kept.select("label").distinct().collect()} == {"w0", "w1"}
     with pytest.raises(ValueError):
         views("nothing", reps, words)
+
+
+def test_moments_by_blocks_and_bounded_sums(spark):
+    x = rng.standard_normal((300, 7))
+    rows = [("g" if i % 3 else None, i % 4, [float(v) for v in x[i, :4]], [float(v) for v in x[i, 4:]]) for i in range(300)]
+    frame = spark.createDataFrame(rows, "layer string, fold int, v1 array<double>, v2 array<double>").repartition(3)
+    for held, cells in ((1 << 20, 1 << 16), (1, 10)):  # with 1, a task hands on every sum at once; 10 cells are a row of the matrix
+        got = {(r.layer, r.fold): r for r in cca.fold_moments(frame, ["layer"], held_bytes=held, block_cells=cells).collect()}
+        assert len(got) == 8
+        for (layer, fold), r in got.items():
+            mine = x[[i for i in range(300) if i % 4 == fold and bool(i % 3) == (layer == "g")]]
+            assert r.d1 == 4 and r.n == len(mine) and np.allclose(r.s, mine.sum(axis=0)) and np.allclose(np.reshape(r.m, (7, 7)), mine.T @ mine)
+
+
+def test_mean_of_views_is_the_mean_of_both_weightings():
+    x = rng.standard_normal((400, 6)) + 1
+    y = x[:, :4] @ rng.standard_normal((4, 4)) + rng.standard_normal((400, 4))
+    f, held = cca.fit(both(x[:300], y[:300]), 6, 1e-8, 1e-8), both(x[300:], y[300:])
+    px, py, k = f.proj_x, f.proj_y, 4
+    dx, dy = px[:k] @ (x[300:] - x[300:].mean(0)).T, py[:k] @ (y[300:] - y[300:].mean(0)).T
+    r = np.array([np.corrcoef(a, b)[0, 1] for a, b in zip(dx, dy, strict=True)])
+    want = []
+    for a, d in ((x[300:].T, dx), (y[300:].T, dy)):
+        q, _ = np.linalg.qr((d + a.mean(1)[:k, None]).T)
+        w = np.abs(q.T @ a[:k].T).sum(axis=1)
+        want.append(float(w / w.sum() @ r))
+    assert cca.score(f, held, 6, mean_of_views=True) == pytest.approx(np.mean(want), abs=1e-9)
+    assert cca.score(f, held, 6) == pytest.approx(want[1], abs=1e-9)
+
+
+def test_stored_projections_score_alike(spark, tmp_path):
+    x = rng.standard_normal((500, 5))
+    y = x[:, :3] + rng.standard_normal((500, 3))
+    rows = [(0, i % 10, [float(v) for v in x[i]], [float(v) for v in y[i]]) for i in range(500)]
+    moments = cca.fold_moments(spark.createDataFrame(rows, "layer int, fold int, v1 array<double>, v2 array<double>"), ["layer"])
+    write_table(cca.cca_parameters(moments, ["layer"]), f"{tmp_path}/p")
+    stored = read_parameters(spark, f"{tmp_path}/p")
+    folds = {r.fold: cca.Moments(r.n, np.array(r.s), np.reshape(r.m, (8, 8))) for r in moments.collect()}
+    f = cca.fit(cca._sum([folds[k] for k in range(2, 10)]), 5, 1e-6, 1e-6)
+    for mean in (False, True):
+        got = cca.score_stored(stored, moments, ["layer"], (0, 1), mean).first().score
+        assert got == pytest.approx(cca.score(f, folds[0] + folds[1], 5, mean), abs=1e-9)
+
+
+def test_a_failing_trial_is_replaced():
+    def fold(n, scale=1.0):
+        z = rng.standard_normal((n, 2)) * scale
+        return cca.moments_of(z)
+
+    folds = {k: fold(40) for k in range(10)}
+    assert sorted({(r.dev_fold, r.test_fold) for r in cca.trial_scores(folds, 1).itertuples()}) == [(0, 1), (2, 3), (4, 5)]
+    del folds[2]  # the second pair cannot be scored
+    done = cca.trial_scores(folds, 1)
+    assert sorted({(r.trial, r.dev_fold, r.test_fold) for r in done.itertuples()}) == [(0, 0, 1), (1, 4, 5), (2, 6, 7)]
+    assert (done.groupby("trial").size() == cca.ENOUGH).all()
+
+
+def test_given_folds(spark, tmp_path):
+    import os
+
+    os.makedirs(f"{tmp_path}/folds")
+    for k in range(10):
+        with open(f"{tmp_path}/folds/split{k}.lst", "w") as out:
+            out.write("\n".join(str(i) for i in range(200) if i % 10 == k))
+    folds = read_folds(spark, f"{tmp_path}/folds")
+    assert {(r.row_id, r.fold) for r in folds.collect()} == {(i, i % 10) for i in range(200)}
+    x = rng.standard_normal((200, 2))
+    reps = spark.createDataFrame([(i, "w", 0, [float(v) for v in x[i]]) for i in range(200)], "row_id long, label string, layer int, vec array<double>")
+    second = spark.createDataFrame([(i, [float(x[i, 0] + x[i, 1]), float(x[i, 0])]) for i in range(200)], "row_id long, vec array<double>")
+    for mean in (False, True):
+        got = run_cca("intra", reps, second, folds=folds, mean_of_views=mean).first()
+        assert got.score == pytest.approx(1, abs=1e-4) and got.n_trials == 3
