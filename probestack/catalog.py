@@ -14,6 +14,7 @@ from probestack.functions import tokens as T
 from probestack.functions import vectors as V
 from probestack.operators import cca, clustering, pooling, sampling, sequences, shards, similarity, stats, vocabulary
 from probestack.plans import experiments
+from probestack.shared import scratch
 from probestack.sources import readers
 
 QUERIES: dict = {}
@@ -198,12 +199,35 @@ SELECT a.conv_id AS pair_id, round(avg(list_cosine_similarity(x.v, y.v)), 6) + 0
 FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.role = 'user' AND b.role = 'assistant' JOIN e x ON x.vec_id = a.idx JOIN e y ON y.vec_id = b.idx JOIN g ON g.conv_id = a.conv_id GROUP BY a.conv_id""",
 )
 def sts_score(spark, d):
+    return _sts(spark, d).select("pair_id", r6("cos").alias("cos"), "n", "score")
+
+
+def _sts(spark, d):
     vectors = embed(spark, d).withColumnRenamed("word", "row_id")
     n = vectors.count()
     rows = _recordings(spark, d).withColumn("row_id", F.pmod(F.col("pair_id") * 17 + F.col("turn"), F.lit(n)))
     gold = rows.groupBy("pair_id").agg(F.count("*").cast("double").alias("score"))
-    found = similarity.sentence_similarity(similarity.speaker_pairs(rows), gold, vectors, None)
-    return found.select("pair_id", r6("cos").alias("cos"), "n", "score")
+    return similarity.sentence_similarity(similarity.speaker_pairs(rows), gold, vectors, None)
+
+
+@query(
+    "sts_rho",
+    """WITH n AS (SELECT count(*) AS n FROM embeddings), e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+c AS (SELECT conv_id, role, (conv_id * 17 + turn) % n AS idx FROM conversations, n), g AS (SELECT conv_id, CAST(count(*) AS DOUBLE) AS score FROM conversations GROUP BY conv_id),
+m AS (SELECT a.conv_id, round(avg(list_cosine_similarity(x.v, y.v)), 9) AS cos, count(*) AS n FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.role = 'user' AND b.role = 'assistant' JOIN e x ON x.vec_id = a.idx JOIN e y ON y.vec_id = b.idx GROUP BY a.conv_id),
+s AS (SELECT cos, score, n <= 4 AS complete FROM m JOIN g USING (conv_id)),
+r AS (SELECT rank() OVER (ORDER BY cos) + (count(*) OVER (PARTITION BY cos) - 1) / 2e0 AS rx, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2e0 AS ry FROM s WHERE complete)
+SELECT count(*) AS n, round(corr(rx, ry), 6) + 0e0 AS rho, (SELECT count(*) FROM s WHERE NOT complete) AS n_incomplete FROM r""",
+)
+def sts_rho(spark, d):
+    """Rank correlation of cosines and scores over the pairs that count as complete (here: of four speaker pairs at most)."""
+    found = _sts(spark, d).withColumn("cos", F.round("cos", 9)).withColumn("complete", F.col("n") <= 4)
+    return similarity.sentence_rho(found).select("n", r6("rho").alias("rho"), "n_incomplete")
+
+
+@query("pair_key", "SELECT conv_id, turn, 'sts_' || role || '_' || conv_id AS pair_id FROM conversations")
+def pair_key(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", T.pair_key(F.lit("sts"), F.col("role"), F.col("conv_id")).alias("pair_id"))
 
 
 @query("gold_consistency", "SELECT conv_id AS pair_id, min(length(role)) AS score, min(length(role)) = max(length(role)) AS consistent FROM conversations GROUP BY conv_id")
@@ -242,7 +266,7 @@ def segment_index(spark, d):
     return _segments(spark, d)
 
 
-@query("truth_index", f"WITH {SEGMENTS}, t AS (SELECT utt_id, CAST(segment_id AS BIGINT) AS segment_id, CAST(ceil(start_s / 2e-2) AS BIGINT) AS first, least(CAST(ceil(end_s / 2e-2) AS BIGINT), n_frames) AS e FROM ab) SELECT utt_id, segment_id, first, CASE WHEN e <= first THEN first + 1 ELSE e END AS last FROM t")
+@query("truth_index", f"WITH {SEGMENTS}, t AS (SELECT utt_id, CAST(segment_id AS BIGINT) AS segment_id, n_frames, CAST(ceil(start_s / 2e-2) AS BIGINT) AS f, CAST(ceil(end_s / 2e-2) AS BIGINT) AS e FROM ab), u AS (SELECT utt_id, segment_id, f, least(CASE WHEN e <= f THEN f + 1 ELSE e END, n_frames) AS e FROM t) SELECT utt_id, segment_id, CASE WHEN f < e THEN f END AS first, CASE WHEN f < e THEN e END AS last FROM u")
 def truth_index(spark, d):
     f = frames(spark, d)
     seg = f.groupBy("utt_id", F.floor(F.col("frame") / 7).alias("segment_id")).agg((F.min("frame") * F.lit(2e-2) + F.lit(1e-2)).alias("start_s"), ((F.max("frame") + 1) * F.lit(2e-2) + F.lit(5e-3)).alias("end_s"))
@@ -372,36 +396,39 @@ def _grid_frames(spark, d):
     return sequences.zscore(f)
 
 
-_SETTINGS = ", ".join(f"({p})" for p in sequences.PROMINENCES)
-_WINDOWS = ", ".join(f"({w})" for w in sequences.WINDOWS)
-
-
-@query(
-    "segment_grid",
-    f"""WITH {EV}, z AS (SELECT utt_id, frame, [(value - avg(value) OVER ()) / stddev_pop(value) OVER (), (event_id * 37 % 101 - avg(event_id * 37 % 101) OVER ()) / stddev_pop(event_id * 37 % 101) OVER ()] AS v FROM ev),
+_SETTINGS = ", ".join(f"({p}, {i})" for i, p in enumerate(sequences.PROMINENCES))
+_WINDOWS = ", ".join(f"({w}, {i})" for i, w in enumerate(sequences.WINDOWS))
+_KINDS = ", ".join(f"('{k}', {i})" for i, k in enumerate(sequences.DISTANCES))
+_GRID_SQL = f"""WITH {EV}, z AS (SELECT utt_id, frame, [(value - avg(value) OVER ()) / stddev_pop(value) OVER (), (event_id * 37 % 101 - avg(event_id * 37 % 101) OVER ()) / stddev_pop(event_id * 37 % 101) OVER ()] AS v FROM ev),
 nx AS (SELECT utt_id, frame, v, lead(v) OVER (PARTITION BY utt_id ORDER BY frame) AS w FROM z),
 dist AS (SELECT utt_id, frame, 'euclidean' AS kind, list_distance(v, w) AS x FROM nx WHERE w IS NOT NULL UNION ALL SELECT utt_id, frame, 'cosine', 1 - list_cosine_similarity(v, w) FROM nx WHERE w IS NOT NULL),
-win AS (SELECT win FROM (VALUES {_WINDOWS}) t(win)),
+win AS (SELECT win FROM (VALUES {_WINDOWS}) t(win, w_at)),
 sm AS (SELECT utt_id, kind, win, frame AS pos, avg(b.x) AS x FROM (SELECT d.utt_id, d.kind, win, d.frame, e.x FROM dist d, win JOIN dist e ON e.utt_id = d.utt_id AND e.kind = d.kind AND e.frame >= d.frame AND e.frame < d.frame + win) b GROUP BY utt_id, kind, win, frame HAVING count(*) = win),
 nb AS (SELECT *, lag(x) OVER q AS l, lead(x) OVER q AS r FROM sm WINDOW q AS (PARTITION BY utt_id, kind, win ORDER BY pos)),
 tops AS (SELECT utt_id, kind, win, pos, x FROM nb WHERE l < x AND r < x),
 hi AS (SELECT t.utt_id, t.kind, t.win, t.pos, t.x, coalesce(max(e.pos) FILTER (e.pos < t.pos AND e.x > t.x), -1) AS lo, coalesce(min(e.pos) FILTER (e.pos > t.pos AND e.x > t.x), 1000000000) AS up FROM tops t JOIN sm e ON e.utt_id = t.utt_id AND e.kind = t.kind AND e.win = t.win GROUP BY ALL),
 pk AS (SELECT h.utt_id, h.kind, h.win, h.pos + h.win // 2 AS frame, h.x - greatest(min(e.x) FILTER (e.pos <= h.pos), min(e.x) FILTER (e.pos >= h.pos)) AS prom FROM hi h JOIN sm e ON e.utt_id = h.utt_id AND e.kind = h.kind AND e.win = h.win AND e.pos > lo AND e.pos < up GROUP BY h.utt_id, h.kind, h.win, h.pos, h.x),
-pred AS (SELECT utt_id, kind, win, frame, s.p FROM pk JOIN (VALUES {_SETTINGS}) s(p) ON prom >= s.p), {TRUTH},
+pred AS (SELECT utt_id, kind, win, frame, s.p FROM pk JOIN (VALUES {_SETTINGS}) s(p, p_at) ON prom >= s.p), {TRUTH},
 tp AS (SELECT kind, win, p, count(*) FILTER (EXISTS (SELECT 1 FROM truth t WHERE t.utt_id = pred.utt_id AND abs(t.frame - pred.frame) <= 1)) AS tp, count(*) AS np FROM pred GROUP BY ALL),
 fd AS (SELECT kind, win, p, count(*) AS nf FROM (SELECT DISTINCT kind, win, p, t.utt_id, t.frame FROM pred JOIN truth t ON t.utt_id = pred.utt_id AND abs(t.frame - pred.frame) <= 1) GROUP BY ALL),
-k AS (SELECT kind, win, p, tp, np - tp AS fp, (SELECT count(*) FROM truth) - coalesce(nf, 0) AS fn FROM tp LEFT JOIN fd USING (kind, win, p))
-SELECT kind, CAST(win AS INTEGER) AS "window", CAST(p AS DOUBLE) AS prominence, tp, fp, fn, round(CASE WHEN tp = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END, 6) AS f1 FROM k""",
-)
+every AS (SELECT kind, win, p, (p_at * {len(sequences.DISTANCES)} + k_at) * {len(sequences.WINDOWS)} + w_at AS setting FROM (VALUES {_KINDS}) a(kind, k_at), (VALUES {_WINDOWS}) b(win, w_at), (VALUES {_SETTINGS}) c(p, p_at)),
+k AS (SELECT kind, win, p, setting, coalesce(tp, 0) AS tp, coalesce(np - tp, 0) AS fp, (SELECT count(*) FROM truth) - coalesce(nf, 0) AS fn FROM every LEFT JOIN tp USING (kind, win, p) LEFT JOIN fd USING (kind, win, p)),
+grid AS (SELECT kind, CAST(win AS INTEGER) AS "window", CAST(p AS DOUBLE) AS prominence, setting, tp, fp, fn, CASE WHEN tp = 0 THEN 0e0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1 FROM k)"""
+
+
+def _grid(spark, d):
+    return sequences.segment_grid(_grid_frames(spark, d), _changes(spark, d), 1)
+
+
+@query("segment_grid", f"{_GRID_SQL} SELECT kind, \"window\", prominence, tp, fp, fn, round(f1, 6) AS f1 FROM grid")
 def segment_grid(spark, d):
-    found = sequences.segment_grid(_grid_frames(spark, d), _changes(spark, d), 1)
-    return found.select("kind", "window", "prominence", "tp", "fp", "fn", r6("f1").alias("f1"))
+    return _grid(spark, d).select("kind", "window", "prominence", "tp", "fp", "fn", r6("f1").alias("f1"))
 
 
-@query("segment_best")
+@query("segment_best", f"{_GRID_SQL} SELECT kind, \"window\", prominence, tp, fp, fn, round(f1, 6) AS f1 FROM grid ORDER BY grid.f1 DESC, setting LIMIT 1")
 def segment_best(spark, d):
     """The best setting of the grid; equal scores go to the first in grid order."""
-    return stats.best_by(segment_grid(spark, d).withColumn("all", F.lit(0)), ["all"], "f1", ["prominence", "kind", "window"]).drop("all")
+    return sequences.best_settings(_grid(spark, d)).select("kind", "window", "prominence", "tp", "fp", "fn", r6("f1").alias("f1"))
 
 
 @query("preemphasis", f"WITH {EV} SELECT utt_id, frame, round(value - 97e-2 * coalesce(lag(value) OVER (PARTITION BY utt_id ORDER BY frame), 0e0), 6) + 0e0 AS value FROM ev")
@@ -441,6 +468,24 @@ def shrinking_quota(spark, d):
     return sampling.shrinking_quotas(counts, 20, 400, [F.col("first")]).select("token", "cnt", F.col("low").cast("long").alias("low"), F.col("high").cast("long").alias("high"), "quota")
 
 
+_SAMPLE_TOKEN = "CASE WHEN event_id % 29 = 0 THEN 'SIL' ELSE event_type || '/' || user_id % 5 END"
+
+
+@query(
+    "token_sample",
+    f"""WITH t AS (SELECT {_SAMPLE_TOKEN} AS token, event_id FROM events), c AS (SELECT token, count(*) AS cnt FROM t WHERE token <> 'SIL' GROUP BY token),
+q AS (SELECT token, cnt, least(3000, min(cnt) OVER w) AS low, least(7000, min(cnt) OVER w) AS high FROM c WINDOW w AS (ORDER BY cnt DESC, token ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT 'train' AS split, token, cnt, low + {_DRAW} % (high - low + 1) AS quota FROM q UNION ALL SELECT 'dev', token, cnt, least(200, cnt) FROM c),
+r AS (SELECT token, event_id, row_number() OVER (PARTITION BY token ORDER BY md5('0-' || event_id), event_id) AS k FROM t)
+SELECT split, token, event_id, cnt, CAST(quota AS BIGINT) AS quota FROM r JOIN p USING (token) WHERE k <= quota""",
+)
+def token_sample(spark, d):
+    """The presets of a training and a dev split, applied to the same rows."""
+    rows = table(spark, d, "events").select(F.expr(_SAMPLE_TOKEN.replace("user_id % 5", "cast(user_id % 5 as string)")).alias("token"), "event_id")
+    parts = [sampling.token_sample(rows, "phone", split, ["event_id"]).select(F.lit(split).alias("split"), "token", "event_id", "cnt", F.col("quota").cast("long").alias("quota")) for split in ("train", "dev")]
+    return parts[0].unionByName(parts[1])
+
+
 @query("sample_utterances", "SELECT o_orderkey FROM orders ORDER BY md5('0-' || o_orderkey), o_orderkey LIMIT 500")
 def sample_utterances(spark, d):
     return sampling.sample_n(table(spark, d, "orders").select("o_orderkey"), 500, ["o_orderkey"])
@@ -522,9 +567,7 @@ def word_intersection(spark, d):
 
 @query("disjoint_union", "SELECT o_custkey, count(DISTINCT o_orderstatus) AS parts FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) > 1")
 def disjoint_union(spark, d):
-    o = table(spark, d, "orders").select("o_custkey", "o_orderstatus")
-    parts = [o.where(F.col("o_orderstatus") == s) for s in ("F", "O", "P")]
-    return vocabulary.disjoint_union(parts, "o_custkey")[1]
+    return vocabulary.clashes(table(spark, d, "orders"), "o_custkey", "o_orderstatus")
 
 
 @query("distinct_words", "SELECT lang, count(DISTINCT token) AS n FROM (SELECT lang, unnest(string_split(lower(text), ' ')) AS token FROM documents) GROUP BY lang")
@@ -608,18 +651,72 @@ def covariance(spark, d):
     return stats.covariance(table(spark, d, "embeddings"), "embedding").select("i", "j", r6("cov").alias("cov"))
 
 
-_TRIALS = ", ".join(f"({a}, {b})" for a, b in cca.TRIALS)
+_TRIALS = ", ".join(f"({a}, {b})" for a, b in cca.TRIALS[: cca.N_TRIALS])
 
 
 @query(
     "cca_1d",
-    f"""WITH {REPS}, {FOLDS}, x AS (SELECT layer, fold, vec[1] AS x, vec[2] AS y FROM reps JOIN folds USING (row_id)),
-t AS (SELECT layer, covar_samp(x, y) FILTER (fold NOT IN (dev, test)) AS c, corr(x, y) FILTER (fold = test) AS r FROM x, (VALUES {_TRIALS}) v(dev, test) GROUP BY layer, dev, test)
-SELECT CAST(layer AS INTEGER) AS layer, round(avg(sign(c) * r), 6) + 0e0 AS score, count(*) AS n_trials FROM t GROUP BY layer""",
+    f"""WITH {REPS}, {FOLDS}, x AS (SELECT layer, fold, k - 1 AS dim, vec[k] AS x, vec[k % 16 + 1] AS y FROM reps JOIN folds USING (row_id), range(1, 17) t(k)),
+t AS (SELECT layer, dim, covar_samp(x, y) FILTER (fold NOT IN (dev, test)) AS c, corr(x, y) FILTER (fold = test) AS r FROM x, (VALUES {_TRIALS}) v(dev, test) GROUP BY layer, dim, dev, test)
+SELECT CAST(layer AS INTEGER) AS layer, CAST(dim AS INTEGER) AS dim, round(avg(sign(c) * r), 6) + 0e0 AS score, count(*) AS n_trials FROM t GROUP BY layer, dim""",
 )
 def cca_1d(spark, d):
-    rows = _folded(spark, d).select("layer", "fold", F.get("vec", F.lit(0)).alias("x"), F.get("vec", F.lit(1)).alias("y"))
-    return cca.cca_1d(rows, ["layer"]).select("layer", r6("score").alias("score"), "n_trials")
+    """Each component of each layer against the next one."""
+    after = F.concat(F.slice("vec", 2, WIDTH - 1), F.slice("vec", 1, 1))
+    both = F.posexplode(F.arrays_zip(F.col("vec").alias("x"), after.alias("y"))).alias("dim", "p")
+    rows = _folded(spark, d).select("layer", "fold", both).select("layer", "fold", "dim", "p.x", "p.y")
+    return cca.cca_1d(rows, ["layer", "dim"]).select("layer", "dim", r6("score").alias("score"), "n_trials")
+
+
+_SIGNED = "x AS (SELECT layer, fold, vec[1] AS x, vec[2] AS y FROM reps JOIN folds USING (row_id))"
+_EPSILONS = ", ".join(f"({i}, {x}, {y})" for i, (x, y) in enumerate(cca.grid()[: cca.ENOUGH]))
+
+
+def _views(spark, d, first: int, second: int, width: int):
+    """Runs of width components of every layer, from first and second, as the two views."""
+    return _folded(spark, d).select("layer", "fold", F.slice("vec", first + 1, width).alias("v1"), F.slice("vec", second + 1, width).alias("v2"))
+
+
+@query(
+    "pwcca_1d",
+    f"""WITH {REPS}, {FOLDS}, {_SIGNED}, v AS (SELECT row_number() OVER () - 1 AS trial, dev, test FROM (VALUES {_TRIALS}) u(dev, test)),
+t AS (SELECT layer, trial, dev, test, sign(covar_samp(x, y) FILTER (fold NOT IN (dev, test))) AS s, corr(x, y) FILTER (fold = dev) AS rd, corr(x, y) FILTER (fold = test) AS rt FROM x, v GROUP BY layer, trial, dev, test)
+SELECT CAST(layer AS INTEGER) AS layer, CAST(trial AS INTEGER) AS trial, dev AS dev_fold, test AS test_fold, g AS grid, CAST(ex AS DOUBLE) AS eps_x, CAST(ey AS DOUBLE) AS eps_y, round(s * rd, 6) + 0e0 AS dev, round(s * rt, 6) + 0e0 AS test FROM t, (VALUES {_EPSILONS}) e(g, ex, ey)""",
+)
+def pwcca_1d(spark, d):
+    """Where both views have one component the score is its signed held-out correlation, whatever the regularisation."""
+    found = cca.cca_grid(cca.fold_moments(_views(spark, d, 0, 1, 1), ["layer"]), ["layer"])
+    return found.withColumn("dev", r6("dev")).withColumn("test", r6("test"))
+
+
+@query("cca_cv_1d", f"WITH {REPS}, {FOLDS}, {_SIGNED}, t AS (SELECT layer, covar_samp(x, y) FILTER (fold NOT IN (dev, test)) AS c, corr(x, y) FILTER (fold = test) AS r FROM x, (VALUES {_TRIALS}) v(dev, test) GROUP BY layer, dev, test) SELECT CAST(layer AS INTEGER) AS layer, round(avg(sign(c) * r), 6) + 0e0 AS score, count(*) AS n_trials FROM t GROUP BY layer")
+def cca_cv_1d(spark, d):
+    return cca.cca_cv(cca.fold_moments(_views(spark, d, 0, 1, 1), ["layer"]), ["layer"]).withColumn("score", r6("score"))
+
+
+@query("cca_stored_1d", f"WITH {REPS}, {FOLDS}, {_SIGNED} SELECT CAST(layer AS INTEGER) AS layer, round(sign(covar_samp(x, y) FILTER (fold NOT IN (0, 1))) * corr(x, y) FILTER (fold = 1), 6) + 0e0 AS score FROM x GROUP BY layer")
+def cca_stored_1d(spark, d):
+    """Projections that were fitted, stored and read back, scored on a fold that did not train them."""
+    moments = cca.fold_moments(_views(spark, d, 0, 1, 1), ["layer"])
+    stored = scratch(cca.cca_parameters(moments, ["layer"]), "parameters")
+    return cca.score_stored(stored, moments, ["layer"], (1,)).withColumn("score", r6("score"))
+
+
+@query(
+    "cca_fit",
+    f"""WITH {REPS}, {FOLDS}, x AS (SELECT layer, vec[1] AS x1, vec[2] AS x2, vec[3] AS y1, vec[4] AS y2 FROM reps JOIN folds USING (row_id) WHERE fold NOT IN (0, 1)),
+c AS (SELECT layer, covar_samp(x1, x1) AS a, covar_samp(x1, x2) AS b, covar_samp(x2, x2) AS c, covar_samp(y1, y1) AS d, covar_samp(y1, y2) AS e, covar_samp(y2, y2) AS f,
+  covar_samp(x1, y1) AS p, covar_samp(x1, y2) AS q, covar_samp(x2, y1) AS r, covar_samp(x2, y2) AS s FROM x GROUP BY layer),
+m AS (SELECT layer, a, b, c, a * c - b * b AS dx, d * f - e * e AS dy, p * s - q * r AS dc, p * p * f - 2 * p * q * e + q * q * d AS m11, p * r * f - (p * s + q * r) * e + q * s * d AS m12, r * r * f - 2 * r * s * e + s * s * d AS m22 FROM c),
+k AS (SELECT layer, (c * m11 - 2 * b * m12 + a * m22) / (dx * dy) AS tr, dc * dc / (dx * dy) AS det FROM m)
+SELECT CAST(layer AS INTEGER) AS layer, direction, round(sqrt(greatest((tr + CASE direction WHEN 0 THEN 1 ELSE -1 END * sqrt(greatest(tr * tr - 4 * det, 0))) / 2, 0)), 5) + 0e0 AS rho FROM k, (VALUES (0), (1)) t(direction)""",
+)
+def cca_fit(spark, d):
+    """Canonical correlations of two components of a layer with the next two, by fitted and stored projections."""
+    moments = cca.fold_moments(_views(spark, d, 0, 2, 2), ["layer"])
+    stored = scratch(cca.cca_parameters(moments, ["layer"], eps=(1e-10, 1e-10)), "parameters")
+    found = cca.canonical_correlations(stored, moments, ["layer"], tuple(range(2, 10)))
+    return found.select("layer", "direction", (F.round("rho", 5) + F.lit(0.0)).alias("rho"))
 
 
 def _folded(spark, d):
@@ -633,12 +730,6 @@ def _intra(spark, d):
     return _folded(spark, d).withColumnRenamed("vec", "v1").join(base, "row_id")
 
 
-@query("cca_fit")
-def cca_fit(spark, d):
-    found = cca.cca_parameters(cca.fold_moments(_intra(spark, d), ["layer"]), ["layer"])
-    return found.groupBy("layer", "side").agg(F.count_distinct("direction").alias("directions"), F.count_distinct("dim").alias("dims"))
-
-
 @query("pwcca")
 def pwcca(spark, d):
     """Scores of every layer against the first at every regularisation that is tried."""
@@ -668,3 +759,28 @@ def kmeans_mi(spark, d):
     rows = table(spark, d, "embeddings").where("label is not null").select(F.col("vec_id").alias("row_id"), "label", F.col("embedding").alias("vec"))
     held = F.col("row_id") % 10 == 0
     return clustering.kmeans_mi(rows.where(~held), rows.where(held), 10)
+
+
+_CENTRES, _ROUNDS = 8, 2
+
+
+def _lloyd_sql() -> str:
+    parts = ["t AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label IS NOT NULL)", f"c0 AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, v FROM t WHERE vec_id % 10 <> 0 ORDER BY vec_id LIMIT {_CENTRES})"]
+    near = "SELECT vec_id, label, v, k FROM (SELECT t.vec_id, t.label, t.v, c.k, row_number() OVER (PARTITION BY t.vec_id ORDER BY list_distance(t.v, c.v), c.k) AS nth FROM t, c{i} c WHERE {rows}) WHERE nth = 1"
+    for i in range(_ROUNDS):
+        parts.append(f"a{i} AS ({near.format(i=i, rows='vec_id % 10 <> 0')})")
+        parts.append(f"m{i} AS (SELECT k, list(m ORDER BY d) AS v FROM (SELECT k, d, avg(v[d]) AS m FROM a{i}, range(1, 65) r(d) GROUP BY k, d) GROUP BY k)")
+        parts.append(f"c{i + 1} AS (SELECT c.k, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m ON c.k = m.k)")
+    cells = f"SELECT label AS a, k AS b, count(*) AS n FROM ({near.format(i=_ROUNDS, rows='vec_id % 10 = 0')}) GROUP BY ALL"
+    return "WITH " + ", ".join(parts) + f", {_mi_sql(cells)} SELECT CAST(sum(n) AS BIGINT) AS n, {_MI} AS mi, {_HA} AS h_label, round(sum(n / nn * ln(n * nn / (na * nb))) / -sum(n / nn * ln(na / nn)), 6) + 0e0 AS nmi FROM margins"
+
+
+@query("lloyd_mi", _lloyd_sql())
+def lloyd_mi(spark, d):
+    """Two rounds from the first training vectors as centres; evaluation rows (a tenth of all) against their labels."""
+    rows = table(spark, d, "embeddings").where("label is not null").select(F.col("vec_id").alias("row_id"), "label", V.as_double("embedding").alias("vec"))
+    train, held = rows.where("row_id % 10 <> 0"), rows.where("row_id % 10 = 0")
+    first = train.orderBy("row_id").limit(_CENTRES)  # a few rows
+    centres = first.select((F.row_number().over(Window.orderBy("row_id")) - 1).alias("cluster"), "vec")
+    found = clustering.lloyd_mi(train, held, centres, _ROUNDS)
+    return found.select("n", r6("mi").alias("mi"), r6("h_label").alias("h_label"), r6("nmi").alias("nmi"))

@@ -53,6 +53,15 @@ def segment_frames(start: Column, end: Column, stride: float, n_frames: Column,
 
 
 def truth_frames(start: Column, end: Column, stride: float, n_frames: Column) -> tuple[Column, Column]:
-    """As segment_frames for reference boundaries: both ends are rounded up, cut to the length, one frame at least."""
-    a, b = F.ceil(start / stride).cast("long"), F.least(F.ceil(end / stride).cast("long"), n_frames)
-    return a, F.when(b <= a, a + 1).otherwise(b)
+    """As segment_frames for reference boundaries: both ends are rounded up, one frame at least, then cut to the length.
+
+    A segment that begins at or past the end has no frame: both are null.
+    """
+    a, b = F.ceil(start / stride).cast("long"), F.ceil(end / stride).cast("long")
+    b = F.least(F.when(b <= a, a + 1).otherwise(b), n_frames)
+    return F.when(a < b, a), F.when(a < b, b)
+
+
+def pair_key(task: Column, subtask: Column, pair: Column) -> Column:
+    """task_subtask_pair: names a sentence pair across tasks."""
+    return F.concat(task.cast("string"), F.lit("_"), subtask.cast("string"), F.lit("_"), pair.cast("string"))

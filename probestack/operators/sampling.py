@@ -15,10 +15,18 @@ def hash_order(seed: str, *ids: str) -> list[Column]:
     return [F.md5(key), *[F.col(c) for c in ids]]
 
 
+#: Up to so many rows of a stratum each task keeps only its own first ones; more are numbered by range.
+TASK_QUOTA = 1000
+
+
 def quota_sample(df: DataFrame, stratum: str, quota: int | str, ids: list[str], seed: str = "0") -> DataFrame:
-    """At most quota rows (a number or a column) of each stratum, without replacement."""
+    """At most quota rows (a number or a column) of each stratum, without replacement, however many rows a stratum has."""
+    order = hash_order(seed, *ids)
+    if isinstance(quota, int) and quota <= TASK_QUOTA:
+        ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(stratum).orderBy(*order)))
+    else:
+        ranked = rank_within(df, [stratum], order, "_rank")
     most = F.lit(quota) if isinstance(quota, int) else F.col(quota)
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(stratum).orderBy(*hash_order(seed, *ids))))
     return ranked.where(F.col("_rank") <= most).drop("_rank")
 
 
@@ -67,6 +75,26 @@ def independent_quotas(counts: DataFrame, least: int, most: int, seed: str = "0"
     return _drawn(counts.withColumn("low", F.least(F.lit(least), "cnt")).withColumn("high", F.least(F.lit(most), "cnt")), seed)
 
 
+def token_sample(rows: DataFrame, token_type: str, split: str, ids: list[str], n_words: int | None = None, seed: str = "0") -> DataFrame:
+    """The token-level sample of rows (token, ids) by its preset: rows with the token's cnt and quota.
+
+    Tokens that the preset drops are left out; words are the n_words most frequent others, phones all.
+    Tokens are visited by falling count, as their lists are ordered. In training splits the bounds shrink
+    on the way (shrinking_quotas) and a quota is drawn between them; in others a token gives as many rows
+    as it has, up to the preset's bound, whatever the tokens before it had.
+    """
+    chosen = preset(token_type, split, n_words)
+    counts = rows.where(~F.col("token").isin(*chosen.drop)).groupBy("token").agg(F.count("*").alias("cnt"))
+    order = [F.desc("cnt"), F.col("token")]
+    if token_type == "word" and n_words is not None:
+        counts = counts.orderBy(*order).limit(n_words)
+    if "train" in split:
+        quotas = shrinking_quotas(counts, chosen.least, chosen.most, order, seed)
+    else:
+        quotas = counts.withColumn("quota", F.least(F.lit(chosen.least), "cnt"))
+    return quota_sample(rows.join(quotas.select("token", "cnt", "quota"), "token"), "token", "quota", ids, seed)
+
+
 def _drawn(df: DataFrame, seed: str) -> DataFrame:
     draw = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), F.col("token"))), 1, 8), 16, 10).cast("long")
     return df.withColumn("quota", F.col("low") + F.pmod(draw, F.col("high") - F.col("low") + 1))

@@ -110,8 +110,8 @@ def boundary_counts(predicted: DataFrame, truth: DataFrame, tolerance: int, keys
 
     A prediction hits if a truth lies within tolerance (inclusive); a truth without a prediction that
     near is a miss. One truth may credit several predictions. Neighbouring frames are unrolled, so both
-    tests are equi-joins; utterances without predictions count as all misses. With keys (settings),
-    a setting without any prediction is not reported.
+    tests are equi-joins; utterances without predictions count as all misses. With keys, one that has no
+    prediction is not known here and not reported; segment_grid reports all settings.
     """
     keys = keys or []
     near = F.explode(F.sequence(F.col("frame") - tolerance, F.col("frame") + tolerance))
@@ -130,53 +130,100 @@ def boundary_counts(predicted: DataFrame, truth: DataFrame, tolerance: int, keys
 
 
 def f_scores(counts: DataFrame) -> DataFrame:
-    p = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fp")), F.lit(0.0))
-    r = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("tp") + F.col("fn")), F.lit(0.0))
-    with_pr = counts.withColumn("precision", p).withColumn("recall", r)
-    both = F.col("precision") + F.col("recall")
-    return with_pr.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), both), F.lit(0.0)))
+    """counts with precision, recall and f1 of tp, fp and fn; a ratio without a denominator is 0."""
+    over = lambda n, d: F.coalesce(F.try_divide(n.cast("double"), d), F.lit(0.0))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return counts.withColumn("precision", over(tp, tp + fp)).withColumn("recall", over(tp, tp + fn)).withColumn("f1", over(2 * tp, 2 * tp + fp + fn))
 
 
-#: The grid of the boundary search.
-WINDOWS = (1, 2, 4, 6, 8, 16)
+#: The grid of the boundary search, in the order in which it is walked.
+PROMINENCES = (0.0, 0.00001, 0.0003, 0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 1.0, 2.0, 4.0, 6.0, 8.0, 10.0)
 DISTANCES = ("euclidean", "cosine")
-PROMINENCES = tuple(round(0.05 * k, 2) for k in range(1, 16))
+WINDOWS = (1, 2, 4, 6, 8, 16)
 
 
-def _grid(windows: tuple[int, ...], kinds: tuple[str, ...], utterance: str):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        v = np.stack(pdf["vec"].to_list()).astype(float)
-        who, rows = pdf[utterance].iloc[0], []
-        a, b = v[:-1], v[1:]
-        for kind in kinds:
-            if kind == "euclidean":
-                dist = np.sqrt(((a - b) ** 2).sum(axis=1))
-            else:
-                dist = 1.0 - (a * b).sum(axis=1) / np.maximum(np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)), 1e-300)
-            for n in windows:
-                if len(dist) < n:
-                    continue
-                smooth = np.lib.stride_tricks.sliding_window_view(dist, n).mean(axis=1)
-                at, prominence = peaks(smooth)
-                rows += [(who, kind, n, int(f) + n // 2, float(p)) for f, p in zip(at, prominence, strict=True)]
-        return pd.DataFrame(rows, columns=[utterance, "kind", "window", "frame", "prominence"])
-
-    return run
-
-
-def grid_peaks(frames: DataFrame, windows: tuple[int, ...] = WINDOWS, kinds: tuple[str, ...] = DISTANCES, utterance: str = "utt_id") -> DataFrame:
-    """utterance, kind, window, frame, prominence: every peak of every setting, found once and thresholded later."""
-    t = dict(frames.dtypes)[utterance]
-    return frames.select(utterance, "frame", "vec").groupBy(utterance).applyInPandas(_grid(windows, kinds, utterance), f"`{utterance}` {t}, kind string, window int, frame long, prominence double")
-
-
-def segment_grid(frames: DataFrame, truth: DataFrame, tolerance: int, prominences: tuple[float, ...] = PROMINENCES, windows: tuple[int, ...] = WINDOWS, kinds: tuple[str, ...] = DISTANCES) -> DataFrame:
-    """kind, window, prominence, tp, fp, fn, precision, recall, f1 for every setting that predicts anything."""
-    found = grid_peaks(frames, windows, kinds)
-    levels = F.filter(F.array(*map(F.lit, prominences)), lambda p: F.col("found") >= p)
-    predicted = found.withColumnRenamed("prominence", "found").select("utt_id", "kind", "window", "frame", F.explode(levels).alias("prominence"))
-    return boundary_counts(predicted, truth, tolerance, ["kind", "window", "prominence"])
+def adjacent_kinds(v: np.ndarray, kind: str) -> np.ndarray:
+    """Distances of each row to the next."""
+    a, b = v[:-1], v[1:]
+    if kind == "euclidean":
+        return np.sqrt(((a - b) ** 2).sum(axis=1))
+    return 1.0 - (a * b).sum(axis=1) / np.maximum(np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)), 1e-300)
+
+
+def setting_counts(v: np.ndarray, truth: np.ndarray, tolerance: int, prominences, windows, kinds) -> list[tuple[str, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """kind, window and, for each prominence, the peaks predicted, those near a truth and the truths near one, of one utterance.
+
+    Peaks are found once per kind and window. Whether a peak is near a truth does not depend on the
+    threshold, and a truth is found up to the highest prominence near it, so all thresholds are counts
+    over sorted values.
+    """
+    levels, truth = np.asarray(prominences, float), np.unique(truth)
+    at_least = lambda x: (len(x) - np.searchsorted(np.sort(x), levels, side="left")).astype(np.int64)
+    out = []
+    for kind in kinds:
+        dist = adjacent_kinds(v, kind) if len(v) > 1 else np.zeros(0)
+        for n in windows:
+            if len(dist) < n:
+                continue
+            at, height = peaks(np.lib.stride_tricks.sliding_window_view(dist, n).mean(axis=1))
+            at = at + n // 2
+            first, last = np.searchsorted(truth, at - tolerance), np.searchsorted(truth, at + tolerance, side="right")
+            best = np.full(len(truth), -np.inf)
+            for k in range(int((last - first).max(initial=0))):
+                near = first + k < last
+                np.maximum.at(best, first[near] + k, height[near])
+            out.append((kind, n, at_least(height), at_least(height[last > first]), at_least(best)))
+    return out
+
+
+def segment_grid(
+    frames: DataFrame, truth: DataFrame, tolerance: int, prominences: tuple[float, ...] = PROMINENCES, windows: tuple[int, ...] = WINDOWS, kinds: tuple[str, ...] = DISTANCES, keys: list[str] | None = None, utterance: str = "utt_id"
+) -> DataFrame:
+    """keys, kind, window, prominence, setting, tp, fp, fn, precision, recall, f1 for every setting, numbered in grid order.
+
+    frames has (keys, utterance, frame, vec), truth (utterance, frame). An utterance's frames and truths
+    meet in one task, which counts all settings; only counts leave it and are summed. A setting that
+    predicts nothing has tp 0 and misses every truth.
+    """
+    keys = keys or []
+    spark = frames.sparkSession
+    kind_of = dict(frames.dtypes)
+    real = truth.select(utterance, "frame").distinct()
+    own = frames.select(*[F.col(k).alias(k) for k in keys]).distinct() if keys else None  # a row per layer
+    if keys:
+        real = real.crossJoin(F.broadcast(own))
+    names = [*keys, utterance]
+    schema = ", ".join(f"`{k}` {kind_of[k]}" for k in keys) + ", " * bool(keys) + "kind string, window int, n_pred array<long>, hits array<long>, n_found array<long>"
+
+    def run(mine: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        some = mine if len(mine) else other
+        mine = mine.sort_values("frame")
+        v = np.stack(mine["vec"].to_list()).astype(float) if len(mine) else np.zeros((0, 1))
+        rows = setting_counts(v, other["frame"].to_numpy(np.int64), tolerance, prominences, windows, kinds)
+        out = pd.DataFrame(rows, columns=["kind", "window", "n_pred", "hits", "n_found"])
+        for k in reversed(keys):
+            out.insert(0, k, some[k].iloc[0] if len(some) else None)
+        return out
+
+    counted = frames.select(*names, "frame", "vec").groupBy(*names).cogroup(real.groupBy(*names)).applyInPandas(run, schema)
+    each = counted.select(*keys, "kind", "window", F.posexplode(F.arrays_zip("n_pred", "hits", "n_found")).alias("level", "c"))
+    sums = each.groupBy(*keys, "kind", "window", "level").agg(*[F.sum(f"c.{c}").alias(c) for c in ("n_pred", "hits", "n_found")])
+    grid = spark.createDataFrame([(k, w, at, float(p), (at * len(kinds) + i) * len(windows) + j) for at, p in enumerate(prominences) for i, k in enumerate(kinds) for j, w in enumerate(windows)], "kind string, window int, level int, prominence double, setting int")
+    every = own.crossJoin(F.broadcast(grid)) if keys else grid  # levels x kinds x windows rows
+    of_truth = truth.select(utterance, "frame").distinct().groupBy().agg(F.count("*").alias("n_truth"))  # one row
+    whole = every.join(sums, [*keys, "kind", "window", "level"], "left").crossJoin(F.broadcast(of_truth))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    counts = whole.select(*keys, "kind", "window", "prominence", "setting", zero("hits").alias("tp"), (zero("n_pred") - zero("hits")).alias("fp"), (F.col("n_truth") - zero("n_found")).alias("fn"))
+    return f_scores(counts)
+
+
+def best_settings(grid: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The setting of highest f1 of each key; of equals the first in grid order."""
+    from probestack.operators.stats import best_by
+
+    if keys:
+        return best_by(grid, keys, "f1", ["setting"])
+    return grid.orderBy(F.desc("f1"), "setting").limit(1)
 
 
 def reject_sentences(tokens: DataFrame, utterance: str = "utt_id", label: str = "token") -> DataFrame:

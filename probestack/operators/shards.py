@@ -2,22 +2,52 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame
 
 
+class _Totals:
+    """Shards' totals under a tree of minima, so that the first one with room is found in logarithmic time."""
+
+    def __init__(self):
+        self.n, self.size, self.low = 0, 1, [math.inf, math.inf]
+
+    def first(self, fits) -> int | None:
+        """The first shard whose total fits; fits holds for any smaller total too."""
+        if not fits(self.low[1]):
+            return None
+        at = 1
+        while at < self.size:
+            at = 2 * at if fits(self.low[2 * at]) else 2 * at + 1
+        return at - self.size
+
+    def put(self, shard: int | None, duration: float) -> int:
+        """Add to a shard, or to a new one."""
+        if shard is None:
+            shard, self.n = self.n, self.n + 1
+            if self.n > self.size:
+                totals = self.low[self.size :] + [math.inf] * self.size
+                self.size *= 2
+                self.low = [math.inf] * self.size + totals
+                for i in range(self.size - 1, 0, -1):
+                    self.low[i] = min(self.low[2 * i], self.low[2 * i + 1])
+            self.low[self.size + shard] = 0.0
+        at = self.size + shard
+        self.low[at] += duration
+        while at > 1:
+            at //= 2
+            self.low[at] = min(self.low[2 * at], self.low[2 * at + 1])
+        return shard
+
+
 def first_fit(durations: list[float], bound: float) -> list[int]:
     """Shard of each item: an item over the bound takes the first empty shard, others the first with room (strictly below the bound)."""
-    totals: list[float] = []
-    out = []
+    totals, out = _Totals(), []
     for d in durations:
-        over = d > bound
-        at = next((i for i, t in enumerate(totals) if (t == 0.0 if over else t + d < bound)), None)
-        if at is None:
-            totals.append(0.0)
-            at = len(totals) - 1
-        totals[at] += d
-        out.append(at)
+        shard = totals.first(lambda t: t <= 0.0) if d > bound else totals.first(lambda t: t + d < bound)  # noqa: B023
+        out.append(totals.put(shard, d))
     return out
 
 

@@ -50,12 +50,23 @@ def gold_scores(rows: DataFrame) -> DataFrame:
     return rows.groupBy("pair_id").agg(F.min("score").alias("score"), (F.min("score") == F.max("score")).alias("consistent"))
 
 
-def sentence_similarity(pairs: DataFrame, gold: DataFrame, vectors: DataFrame, per_pair: int | None = 16) -> DataFrame:
-    """pair_id, cos, n, score: cosines averaged over a pair's speaker pairs, of which there must be per_pair."""
-    a = vectors.select(F.col("row_id").alias("idx_a"), F.col("vec").alias("va"))
-    b = vectors.select(F.col("row_id").alias("idx_b"), F.col("vec").alias("vb"))
-    scored = pairs.join(a, "idx_a").join(b, "idx_b").select("pair_id", cosine("va", "vb").alias("cos"))
-    mean = scored.groupBy("pair_id").agg(F.avg("cos").alias("cos"), F.count("*").alias("n"))
-    if per_pair is not None:
-        mean = mean.where(F.col("n") == per_pair)
-    return mean.join(gold, "pair_id")
+def sentence_similarity(pairs: DataFrame, gold: DataFrame, vectors: DataFrame, per_pair: int | None = 16, keys: list[str] | None = None) -> DataFrame:
+    """keys, pair_id, cos, n, complete, score: cosines averaged over a pair's speaker pairs.
+
+    complete says whether a pair has its per_pair speaker pairs (any number, if None); pairs that don't are
+    reported, not dropped, and left out of the correlation.
+    """
+    keys = keys or []
+    a = vectors.select(*keys, F.col("row_id").alias("idx_a"), F.col("vec").alias("va"))
+    b = vectors.select(*keys, F.col("row_id").alias("idx_b"), F.col("vec").alias("vb"))
+    scored = pairs.join(a, "idx_a").join(b, [*keys, "idx_b"]).select(*keys, "pair_id", cosine("va", "vb").alias("cos"))
+    mean = scored.groupBy(*keys, "pair_id").agg(F.avg("cos").alias("cos"), F.count("*").alias("n"))
+    return mean.withColumn("complete", F.lit(True) if per_pair is None else F.col("n") == per_pair).join(gold, "pair_id")
+
+
+def sentence_rho(scored: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """keys, n, rho, n_incomplete: rank correlation of cosines and human scores over the complete pairs of each key (layer)."""
+    keys = keys or []
+    left = scored.groupBy(*keys).agg(F.count_if(~F.col("complete")).alias("n_incomplete"))
+    rho = spearman(scored.where("complete"), "cos", "score", keys)
+    return rho.join(left, keys, "right") if keys else rho.crossJoin(F.broadcast(left))  # one row

@@ -41,8 +41,12 @@ def disjoint_union(parts: list[DataFrame], key: str) -> tuple[DataFrame, DataFra
     """The union, and the keys that stand in more than one part (none if they are disjoint)."""
     tagged = [p.withColumn("_part", F.lit(i)) for i, p in enumerate(parts)]
     every = reduce(DataFrame.unionByName, tagged)
-    clashes = every.groupBy(key).agg(F.count_distinct("_part").alias("parts")).where("parts > 1").select(key, "parts")
-    return every.drop("_part"), clashes
+    return every.drop("_part"), clashes(every, key, "_part")
+
+
+def clashes(rows: DataFrame, key: str, part: str) -> DataFrame:
+    """key, parts: the keys of rows that stand in more than one part."""
+    return rows.groupBy(key).agg(F.count_distinct(part).alias("parts")).where("parts > 1")
 
 
 def known_words(lists: list[DataFrame], vocabulary: DataFrame) -> DataFrame:

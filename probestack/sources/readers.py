@@ -149,9 +149,26 @@ def frame_lengths(frames: DataFrame) -> DataFrame:
     return frames.groupBy("utt_id").agg((F.max("frame") + 1).alias("n_frames"))
 
 
-def list_audio(spark: SparkSession, path: str, ext: str = "flac") -> DataFrame:
-    """utt_id, path of the audio files below a folder; contents are not read."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{ext}").option("recursiveFileLookup", True).load(path)
+def read_folds(spark: SparkSession, path: str) -> DataFrame:
+    """row_id, fold of files split0.lst, split1.lst, ... with a row number per line."""
+    lines = spark.read.text(path, pathGlobFilter="split*.lst").withColumn("fold", F.regexp_extract(F.input_file_name(), r"split(\d+)\.lst$", 1).try_cast("int"))
+    return lines.select(F.trim("value").try_cast("long").alias("row_id"), "fold").where("row_id is not null and fold is not null")
+
+
+def read_parameters(spark: SparkSession, path: str) -> DataFrame:
+    """Stored projections (keys, side, direction, dim, value), as write_table has written cca_parameters."""
+    return spark.read.parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
+    """All shards that write_shards has written below a folder, as one table with column shard."""
+    return spark.read.parquet(path)
+
+
+def list_audio(spark: SparkSession, path: str, ext: str = "flac", depth: int | None = None) -> DataFrame:
+    """utt_id, path of the audio files below a folder, at some depth of folders or any; contents are not read."""
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{ext}")
+    files = reader.option("recursiveFileLookup", True).load(path) if depth is None else reader.load(path.rstrip("/") + "/*" * depth + f"/*.{ext}")
     return files.select(F.regexp_extract("path", r"([^/.]+)[^/]*$", 1).alias("utt_id"), "path")
 
 

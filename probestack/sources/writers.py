@@ -38,3 +38,25 @@ def write_spans(spans: DataFrame, path: str) -> None:
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
+
+
+def write_alignments(tokens: DataFrame, path: str, tier: str, split: str) -> None:
+    """Tokens (utt_id, audio_path, start_s, end_s, token) of a tier and split: TSV lines, and JSON rows by token.
+
+    The rows of a token lie in its folder, one per line, so that a frequent token is never one value.
+    """
+    write_lines(tokens, f"{path}/alignment_{tier}_{split}.tsv", "utt_id", "start_s", "end_s", "token")
+    tokens.select("token", "utt_id", "audio_path", "start_s", "end_s").write.mode("overwrite").partitionBy("token").json(f"{path}/alignment_{tier}_{split}.json")
+
+
+def score_path(path: str, mean_of_views: bool = False) -> str:
+    """Where scores go: those of the mean of views are kept apart by a _mean before the suffix."""
+    stem, dot, suffix = path.rpartition(".")
+    if "/" in suffix or not dot:
+        stem, dot, suffix = path, "", ""
+    return f"{stem}_mean{dot}{suffix}" if mean_of_views else path
+
+
+def write_best(best: DataFrame, path: str, key: str = "layer") -> None:
+    """The best setting of each layer as JSON rows: metric, window, prominence and f1."""
+    write_json(best.select(key, F.col("kind").alias("distance metrics"), F.col("window").alias("avg pooling window size"), "prominence", F.col("f1").alias("f1 score")), path)

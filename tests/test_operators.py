@@ -1,9 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from probestack.functions import tokens as T
 from probestack.functions import vectors as V
-from probestack.operators import pooling, sampling, shards, similarity, stats, vocabulary
+from probestack.operators import clustering, pooling, sampling, shards, similarity, stats, vocabulary
 
 
 def test_shard_walks():
@@ -13,6 +15,22 @@ def test_shard_walks():
     assert shards.first_fit([], 1) == shards.sequential([], 1) == []
 
 
+def test_first_fit_equals_a_scan_of_all_shards():
+    rng = random.Random(3)
+    for _ in range(60):
+        durations = [rng.choice([0.0, 1.5, rng.random() * 12, 30.0]) for _ in range(rng.randrange(0, 70))]
+        totals, want = [], []
+        for d in durations:
+            at = next((i for i, t in enumerate(totals) if (t == 0.0 if d > 10 else t + d < 10)), None)
+            if at is None:
+                totals.append(0.0)
+                at = len(totals) - 1
+            totals[at] += d
+            want.append(at)
+        assert shards.first_fit(durations, 10) == want
+    assert len(set(shards.first_fit([6.0] * 50_000, 10))) == 50_000
+
+
 def test_pack_per_group(spark):
     items = spark.createDataFrame([("a", 2, 6.0), ("a", 1, 5.0), ("b", 1, 5.0), ("a", 3, 3.0)], "g string, k int, d double")
     got = {(r.g, r.k): r.shard for r in shards.pack(items, "g", ["k"], "d", 10.0).collect()}
@@ -41,6 +59,10 @@ def test_truth_frames(spark):
     assert tuple(spark.range(1).select(a, b).first()) == (3, 4)
     a, b = T.truth_frames(F.lit(0.0), F.lit(9.0), 0.02, F.lit(100))
     assert tuple(spark.range(1).select(a, b).first()) == (0, 100)
+    a, b = T.truth_frames(F.lit(2.0), F.lit(2.5), 0.02, F.lit(100))  # begins at the end
+    assert tuple(spark.range(1).select(a, b).first()) == (None, None)
+    a, b = T.truth_frames(F.lit(1.97), F.lit(1.97), 0.02, F.lit(100))
+    assert tuple(spark.range(1).select(a, b).first()) == (99, 100)
 
 
 def test_word_pair_forms(spark):
@@ -77,6 +99,38 @@ def test_sampling(spark):
     assert few.count() == 3
 
 
+def test_presets_are_applied(spark):
+    rows = spark.createDataFrame([("SIL" if i % 7 == 0 else f"t{i % 3}" if i % 5 else "few", i) for i in range(2100)], "token string, id int")
+    dev = {r.token: (r.n, r.cnt) for r in sampling.token_sample(rows, "phone", "dev-clean", ["id"]).groupBy("token").agg(F.count("*").alias("n"), F.max("cnt").alias("cnt")).collect()}
+    assert set(dev) == {"t0", "t1", "t2", "few"} and all(n == min(200, cnt) for n, cnt in dev.values())
+    train = sampling.token_sample(rows, "phone", "train-clean-100", ["id"]).groupBy("token").agg(F.count("*").alias("n"), F.max("cnt").alias("cnt"), F.max("quota").alias("q")).collect()
+    least = None
+    for r in sorted(train, key=lambda r: (-r.cnt, r.token)):  # bounds fall to the smallest count met
+        least = r.cnt if least is None else min(least, r.cnt)
+        assert r.n == r.q == least
+    words = spark.createDataFrame([(f"w{i % 20}", i) for i in range(5000)] + [("<unk>", -1)] * 9, "token string, id int")
+    some = sampling.token_sample(words, "word", "dev", ["id"], n_words=6)
+    assert sorted((r.token, r["count"]) for r in some.groupBy("token").count().collect()) == sorted((t, 15) for t in ("w0", "w1", "w10", "w11", "w12", "w13"))
+
+
+def test_vector_means_and_lloyd(spark):
+    rows = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [3.0, 4.0]), ("a", None), ("a", [9.0, None]), ("b", [0.0, 1.0])], "k string, vec array<double>")
+    assert sorted((r.k, r.vec, r.n) for r in pooling.vector_means(rows, ["k"]).collect()) == [("a", [2.0, 3.0], 2), ("b", [0.0, 1.0], 1)]
+    points = spark.createDataFrame([([0.0],), ([1.0],), ([10.0],), ([12.0],)], "vec array<double>")
+    centres = spark.createDataFrame([(0, [0.0]), (1, [2.0]), (2, [99.0])], "cluster int, vec array<double>")
+    assert sorted((r.cluster, r.vec, r.n) for r in clustering.lloyd(points, centres, 2).collect()) == [(0, [0.5], 2), (1, [11.0], 2), (2, [99.0], 0)]
+
+
+def test_incomplete_pairs_are_reported(spark):
+    pairs = spark.createDataFrame([("p", 0, 1), ("p", 0, 2), ("q", 0, 1), ("r", 1, 2), ("r", 0, 2)], "pair_id string, idx_a long, idx_b long")
+    gold = spark.createDataFrame([("p", 1.0), ("q", 2.0), ("r", 0.5)], "pair_id string, score double")
+    vectors = spark.createDataFrame([(layer, i, v) for layer in (0, 1) for i, v in enumerate([[1.0, 0.0], [1.0, 1.0], [0.0, 1.0 + layer]])], "layer int, row_id long, vec array<double>")
+    found = similarity.sentence_similarity(pairs, gold, vectors, 2, ["layer"])
+    assert sorted((r.layer, r.pair_id, r.n, r.complete) for r in found.collect()) == [(k, p, n, n == 2) for k in (0, 1) for p, n in (("p", 2), ("q", 1), ("r", 2))]
+    rho = similarity.sentence_rho(found, ["layer"]).collect()
+    assert [(r.n, r.n_incomplete, r.rho is None or round(abs(r.rho), 6) == 1) for r in rho] == [(2, 1, True)] * 2
+
+
 def test_quotas(spark):
     counts = spark.createDataFrame([("x", 20, 0), ("y", 3, 1), ("z", 20, 2)], "token string, cnt long, first int")
     got = [(r.low, r.high) for r in sampling.shrinking_quotas(counts, 5, 9, [F.col("first")]).orderBy("first").collect()]

@@ -113,3 +113,22 @@ def test_stream_keeps_the_last_frame(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.utt_id, r.frame, r.dist) for r in spark.sql("select * from dists").collect()) in ([("a", 0, 3.0), ("a", 1, 1.0)], [("a", 0, 3.0), ("a", 2, 4.0)])
+
+
+def test_layouts_and_depth(spark, tmp_path):
+    tokens = spark.createDataFrame([("u1", "/a/u1.flac", 0.5, 1.0, "cat"), ("u2", "/a/u2.flac", 0.0, 0.25, "cat")], "utt_id string, audio_path string, start_s double, end_s double, token string")
+    writers.write_alignments(tokens, str(tmp_path), "word", "dev")
+    assert sorted(r.value for r in spark.read.text(f"{tmp_path}/alignment_word_dev.tsv").collect()) == ["u1\t0.5\t1.0\tcat", "u2\t0.0\t0.25\tcat"]
+    assert spark.read.json(f"{tmp_path}/alignment_word_dev.json").where("token = 'cat'").count() == 2
+    assert writers.score_path("a.b/s.json", True) == "a.b/s_mean.json" and writers.score_path("s.json") == "s.json" and writers.score_path("a.b/s", True) == "a.b/s_mean"
+    best = spark.createDataFrame([(3, "cosine", 4, 0.1, 0.5)], "layer int, kind string, window int, prominence double, f1 double")
+    writers.write_best(best, f"{tmp_path}/best")
+    assert spark.read.json(f"{tmp_path}/best").columns == ["avg pooling window size", "distance metrics", "f1 score", "layer", "prominence"]
+    segments = spark.createDataFrame([(0, "u1"), (1, "u2")], "shard int, utt_id string")
+    writers.write_shards(segments, f"{tmp_path}/shards")
+    assert {(r.shard, r.utt_id) for r in readers.read_shards(spark, f"{tmp_path}/shards").collect()} == {(0, "u1"), (1, "u2")}
+    (tmp_path / "audio" / "1" / "2").mkdir(parents=True)
+    for name in ("0.flac", "1/1.flac", "1/2/3.flac", "1/2/x.wav"):
+        (tmp_path / "audio" / name).write_bytes(b"x")
+    ids = lambda depth: sorted(r.utt_id for r in readers.list_audio(spark, str(tmp_path / "audio"), depth=depth).collect())
+    assert ids(None) == ["0", "1", "3"] and ids(2) == ["3"] and ids(0) == ["0"]
