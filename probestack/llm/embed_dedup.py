@@ -30,9 +30,11 @@ from probestack.llm.shared import Forest, components, read_table, scratch, small
 
 THRESHOLD = 0.93
 BLOCK_DIMS = 16
-CHUNK = 2048
+CHUNK = 4096
 SAMPLE = 4096
-TILE = 256
+#: Pairs whose block distances, and then whose cosines, a task computes at once.
+TILE_PAIRS = 1 << 20
+COSINES = 1 << 16
 BROADCAST_CELLS = 100_000
 #: Relative to unit vectors: room for rounding in the budget tests, which only choose candidates.
 SLACK = 1e-9
@@ -102,7 +104,7 @@ def _slabs(geometry: Geometry):
     return run
 
 
-def linked(x: np.ndarray, y: np.ndarray, block: int, same: bool, geometry: Geometry, tile: int = TILE):
+def linked(x: np.ndarray, y: np.ndarray, block: int, same: bool, geometry: Geometry, tile_pairs: int = TILE_PAIRS, cosines: int = COSINES):
     """Index pairs of x and y, tile by tile, that link and whose first admitting block is block."""
     dims = x.shape[1]
     turn, blocks, budgets = geometry.of(dims)
@@ -111,6 +113,7 @@ def linked(x: np.ndarray, y: np.ndarray, block: int, same: bool, geometry: Geome
     axes, budget = blocks[block], budgets[block]
     bx, by = zx[:, axes], zy[:, axes]
     ny = np.einsum("ij,ij->i", by, by)
+    tile = max(1, tile_pairs // max(len(y), 1))
     for at in range(0, len(x), tile):
         t = bx[at : at + tile]
         near = np.einsum("ij,ij->i", t, t)[:, None] + ny[None, :] - 2 * (t @ by.T) <= budget + 1e-7
@@ -128,11 +131,13 @@ def linked(x: np.ndarray, y: np.ndarray, block: int, same: bool, geometry: Geome
             inside = gap <= budgets[k]
             keep = inside if k == block else ~inside
             i, j = i[keep], j[keep]
-        if len(i):
-            cosine = np.einsum("ij,ij->i", x[i], y[j]) / (np.sqrt(np.einsum("ij,ij->i", x[i], x[i])) * np.sqrt(np.einsum("ij,ij->i", y[j], y[j])))
+        for part in range(0, len(i), cosines):
+            a, b = i[part : part + cosines], j[part : part + cosines]
+            u, v = x[a], y[b]
+            cosine = np.einsum("ij,ij->i", u, v) / (np.sqrt(np.einsum("ij,ij->i", u, u)) * np.sqrt(np.einsum("ij,ij->i", v, v)))
             hit = cosine >= geometry.threshold
             if hit.any():
-                yield i[hit], j[hit]
+                yield a[hit], b[hit]
 
 
 def _compare(geometry: Geometry):
