@@ -49,7 +49,7 @@ BUCKET_BYTES = 8 << 20
 GROUP_BYTES = 6 << 20
 GROUP_ENTRIES = 200_000
 #: Text of a chunk, whose distinct n-grams are probed together, and the most rows of one (a power of two).
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 ROW_BITS = 20
 #: Chunks that one partition may have, as a power of two.
 CHUNK_BITS = 23
