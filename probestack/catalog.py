@@ -277,14 +277,14 @@ def truth_index(spark, d):
 @query("segment_pool", f"WITH {SEGMENTS} SELECT i.utt_id, CAST(segment_id AS BIGINT) AS segment_id, round(avg(value), 6) + 0e0 AS value, count(*) AS n FROM idx i JOIN ev ON ev.utt_id = i.utt_id AND frame >= first AND frame < last GROUP BY i.utt_id, segment_id")
 def segment_pool(spark, d):
     f = frames(spark, d).select("utt_id", "frame", F.array("value").alias("vec"))
-    found = pooling.segment_pool(f, _segments(spark, d), keys=["segment_id"])
+    found = pooling.segment_pool(f, _segments(spark, d), keys=["segment_id"], width=1)
     return found.select("utt_id", "segment_id", r6("value").alias("value"), "n")
 
 
 @query("strided_pool", f"WITH {EV} SELECT utt_id, CAST(o AS BIGINT) AS out, round(avg(value), 6) + 0e0 AS value FROM (SELECT utt_id, value, unnest(range(greatest(0, CAST(ceil((frame - 2) / 2e0) AS BIGINT)), frame // 2 + 1)) AS o FROM ev) GROUP BY utt_id, o HAVING count(*) = 3")
 def strided_pool(spark, d):
     f = frames(spark, d).select("utt_id", "frame", F.array("value").alias("vec"))
-    return pooling.strided_pool(f, 3, 2).select("utt_id", "out", r6("value").alias("value"))
+    return pooling.strided_pool(f, 3, 2, width=1).select("utt_id", "out", r6("value").alias("value"))
 
 
 @query("frame_stack", f"WITH {EV}, n AS (SELECT utt_id, max(frame) // 3 AS last FROM ev GROUP BY utt_id), g AS (SELECT utt_id, unnest(range(0, (last + 1) * 3)) AS pos FROM n) SELECT g.utt_id, CAST(pos // 3 AS BIGINT) AS out, CAST(pos % 3 AS INTEGER) AS dim, round(coalesce(value, 0e0), 6) + 0e0 AS value FROM g LEFT JOIN ev ON ev.utt_id = g.utt_id AND ev.frame = pos")
@@ -302,7 +302,7 @@ SELECT ev.utt_id, ev.frame, round(value, 6) + 0e0 AS v1, round(v2, 6) + 0e0 AS v
 def mel_align(spark, d):
     """Frames against the same signal pooled to a local layer's kernel and stride (layer 5: 4 and 2)."""
     f = frames(spark, d).select("utt_id", "frame", F.array("value").alias("vec"))
-    both = pooling.align_frames(f, pooling.match_rate(f, *readers.RECEPTIVE_FIELDS["5"]))
+    both = pooling.align_frames(f, pooling.match_rate(f, *readers.RECEPTIVE_FIELDS["5"], width=1))
     return both.select("utt_id", "frame", r6(F.get("v1", F.lit(0))).alias("v1"), r6(F.get("v2", F.lit(0))).alias("v2"))
 
 

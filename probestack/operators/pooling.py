@@ -18,8 +18,19 @@ def vector_means(df: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
     return summed.groupBy(*keys).agg(Summarizer.mean(F.col("_v")).alias("_m"), F.count("*").alias("n")).select(*keys, vector_to_array("_m").alias("vec"), "n")
 
 
-def mean_vectors(df: DataFrame, keys: list[str], vec: str = "vec") -> DataFrame:
-    """keys, dim, value, n: the mean of each component, in long form, by way of vector_means."""
+#: Vectors up to this width are summed component by component; wider ones as a whole, so that rows don't multiply.
+NARROW = 8
+
+
+def mean_vectors(df: DataFrame, keys: list[str], vec: str = "vec", width: int | None = None) -> DataFrame:
+    """keys, dim, value, n: the mean of each component, in long form.
+
+    By way of vector_means, unless width says that the vectors are narrow: then a row per component is
+    cheaper than a vector per group (nulls are left out component by component).
+    """
+    if width is not None and width <= NARROW:
+        flat = df.select(*keys, F.posexplode(F.col(vec).cast("array<double>")).alias("dim", "x"))
+        return flat.groupBy(*keys, "dim").agg(F.avg("x").alias("value"), F.count("*").alias("n"))
     return vector_means(df, keys, vec).select(*keys, F.posexplode("vec").alias("dim", "value"), "n")
 
 
@@ -29,23 +40,23 @@ def as_vectors(df: DataFrame, keys: list[str], value: str = "value") -> DataFram
     return df.groupBy(*keys).agg(F.transform(at, lambda s: s["x"]).alias("vec"))
 
 
-def segment_pool(frames: DataFrame, segments: DataFrame, utterance: str = "utt_id", keys: list[str] | None = None) -> DataFrame:
+def segment_pool(frames: DataFrame, segments: DataFrame, utterance: str = "utt_id", keys: list[str] | None = None, width: int | None = None) -> DataFrame:
     """utterance, keys, dim, value, n: mean over the frames [first, last) of each segment of an utterance.
 
     The range is unrolled to (utterance, frame), so the join is an equi-join.
     """
     keys = keys or ["segment_id"]
     spans = segments.where("last > first").select(utterance, *keys, F.explode(F.sequence(F.col("first"), F.col("last") - 1)).alias("frame"))
-    return mean_vectors(spans.join(frames, [utterance, "frame"]), [utterance, *keys])
+    return mean_vectors(spans.join(frames, [utterance, "frame"]), [utterance, *keys], width=width)
 
 
-def strided_pool(frames: DataFrame, kernel: int, stride: int, utterance: str = "utt_id", keys: list[str] | None = None) -> DataFrame:
+def strided_pool(frames: DataFrame, kernel: int, stride: int, utterance: str = "utt_id", keys: list[str] | None = None, width: int | None = None) -> DataFrame:
     """Mean over frames o * stride .. o * stride + kernel - 1 for each output o with all its frames."""
     keys = keys or []
     low = F.ceil((F.col("frame") - kernel + 1) / stride).cast("long")
     outs = F.sequence(F.greatest(low, F.lit(0)), F.floor(F.col("frame") / stride).cast("long"))
     some = F.floor(F.col("frame") / stride).cast("long") >= F.greatest(low, F.lit(0))
-    pooled = mean_vectors(frames.where(some).withColumn("out", F.explode(outs)), [utterance, *keys, "out"])
+    pooled = mean_vectors(frames.where(some).withColumn("out", F.explode(outs)), [utterance, *keys, "out"], width=width)
     return pooled.where(F.col("n") == kernel)
 
 
@@ -72,7 +83,7 @@ def align_frames(reps: DataFrame, other: DataFrame, utterance: str = "utt_id") -
     return reps.withColumnRenamed("vec", "v1").join(other.select(utterance, "frame", F.col("vec").alias("v2")), [utterance, "frame"])
 
 
-def match_rate(fbank: DataFrame, kernel: int, stride: int, utterance: str = "utt_id") -> DataFrame:
+def match_rate(fbank: DataFrame, kernel: int, stride: int, utterance: str = "utt_id", width: int | None = None) -> DataFrame:
     """A filterbank brought to a layer's receptive field and stride: utterance, frame, vec."""
-    pooled = as_vectors(strided_pool(fbank, kernel, stride, utterance), [utterance, "out"])
+    pooled = as_vectors(strided_pool(fbank, kernel, stride, utterance, width=width), [utterance, "out"])
     return pooled.withColumnRenamed("out", "frame")

@@ -37,22 +37,27 @@ def entropy(df: DataFrame, label: str) -> DataFrame:
     return counts.groupBy().agg((F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")).alias("h"))
 
 
-def average_rank(df: DataFrame, value: str, name: str, keys: list[str] | None = None) -> DataFrame:
-    """df with the rank of value from 1 within each key, ties sharing the mean of their ranks.
+def average_ranks(df: DataFrame, values: dict[str, str], keys: list[str] | None = None) -> DataFrame:
+    """df with, for each column and name of values, the column's rank from 1 within each key, ties sharing the mean of their ranks.
 
-    Equal values are counted first, then numbered in whole-table order by range, so neither a key nor a
-    tie gathers in one task; the ranks go back to the rows by an equi-join that may be split.
+    Equal values are counted first, then those of all columns are numbered together in whole-table order
+    by range, so neither a key nor a tie gathers in one task; the ranks go back to the rows by equi-joins
+    that may be split.
     """
-    keys = keys or []
-    cells = df.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    rows = dealt(cells, [F.col(c) for c in (*keys, value)])
+    keys, kinds = keys or [], dict(df.dtypes)
+    own = lambda c: [F.col(c) if x == c else F.lit(None).cast(kinds[x]).alias(x) for x in values if x not in keys]
+    parts = [df.groupBy(*keys, c).agg(F.count("*").alias("_n")).select(F.lit(at).alias("_which"), *keys, *own(c), "_n") for at, c in enumerate(values)]
+    rows = dealt(reduce(DataFrame.unionAll, parts), [F.col(c) for c in ("_which", *keys, *values)])
     upto = F.sum("_n").over(Window.partitionBy("_range").orderBy("_within").rowsBetween(Window.unboundedPreceding, 0))
     summed = rows.withColumn("_upto", upto).join(_carried(rows, F.sum("_n"), F.sum), "_range")
-    summed = summed.select(*keys, value, "_n", (F.coalesce("_before", F.lit(0)) + F.col("_upto") - F.col("_n")).alias("_below"))
-    least = (summed.groupBy(*keys) if keys else summed.groupBy()).agg(F.min("_below").alias("_first"))
-    summed = _with_key(summed, least, keys)
-    ranks = summed.select(*keys, value, (F.col("_below") - F.col("_first") + (F.col("_n") + 1) / 2.0).alias(name))
-    return _with_key(df, ranks, [*keys, value])
+    summed = summed.withColumn("_below", F.coalesce("_before", F.lit(0)) + F.col("_upto") - F.col("_n"))
+    least = summed.groupBy("_which", *keys).agg(F.min("_below").alias("_first"))
+    summed = _with_key(summed, least, ["_which", *keys])
+    out = df
+    for at, (c, name) in enumerate(values.items()):
+        ranks = summed.where(F.col("_which") == at).select(*keys, c, (F.col("_below") - F.col("_first") + (F.col("_n") + 1) / 2.0).alias(name))
+        out = _with_key(out, ranks, [*keys, c])
+    return out
 
 
 def _with_key(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
@@ -72,7 +77,7 @@ def spearman(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> Da
     """keys, n, rho over the rows that have both values; rho is null where a side does not vary."""
     keys = keys or []
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
-    ranked = average_rank(average_rank(rows, x, "_x", keys), y, "_y", keys)
+    ranked = average_ranks(rows, {x: "_x", y: "_y"}, keys)
     return (ranked.groupBy(*keys) if keys else ranked.groupBy()).agg(F.count("*").alias("n"), correlation(F.col("_x"), F.col("_y")).alias("rho"))
 
 

@@ -189,7 +189,7 @@ def test_ranks_hold_when_written_with_other_columns(spark, tmp_path):
 
 def test_average_rank_of_null_keys_and_ties(spark):
     rows = spark.createDataFrame([(None, 1.0), (None, 1.0), (None, 0.0), ("a", 5.0), ("a", 5.0), ("a", 7.0)], "k string, v double")
-    got = sorted((r.k or "", r.v, r.rank) for r in stats.average_rank(rows, "v", "rank", ["k"]).collect())
+    got = sorted((r.k or "", r.v, r.rank) for r in stats.average_ranks(rows, {"v": "rank"}, ["k"]).collect())
     assert got == [("", 0.0, 1.0), ("", 1.0, 2.5), ("", 1.0, 2.5), ("a", 5.0, 1.5), ("a", 5.0, 1.5), ("a", 7.0, 3.0)]
 
 
