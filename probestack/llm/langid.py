@@ -289,14 +289,14 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, languages: tuple[st
     if not model.langs:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     found = _identified(spark.sparkContext.broadcast(model))
-    wanted = None if languages is None else set(languages)
+    wanted, columns = None if languages is None else set(languages), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, names, scores in found(batches):
+        for batch, names, scores in found(pa.RecordBatch.from_arrays(b.columns, names=columns) for b in batches):
             kept = [name != UNKNOWN and (wanted is None or name in wanted) and score >= min_score for name, score in zip(names, scores.tolist(), strict=True)]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.toDF(*[f"c{i}" for i in range(len(columns))]).mapInArrow(run, docs.schema)  # names may hold dots
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

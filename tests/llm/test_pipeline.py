@@ -1,12 +1,14 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from probestack.llm import near_dedup  # noqa: E402
 from probestack.llm.langid import UNKNOWN, Memo, fit  # noqa: E402
 from probestack.llm.mixing import mix_plan  # noqa: E402
+from probestack.llm.shared import scratch  # noqa: E402
 from tests.llm.test_near_dedup import brute_force  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -57,3 +59,25 @@ def test_stages_take_odd_rows(spark, tmp_path):
             assert out.columns[:5] == docs.columns
             out.collect()
     assert sorted(r.doc_id or 0 for r in near_dedup.stage(spark, docs, str(tmp_path)).collect()) == [0, 1, 2]
+
+
+def test_stages_with_clashing_columns_and_long_texts(spark, tmp_path):
+    tables(spark, str(tmp_path))
+    clash = ["row", "own", "leaked", "k1", "n", "rate", "seed", "key", "copies", "by", "class_id", "kept", "score", "lang_pred", "x.y"]
+    long = " ".join(f"w{i}" for i in range(150_000))
+    rows = [(i, t, lang, "s", 1, *["c"] * len(clash)) for i, t, lang in ((1, long, "en"), (2, long + " tail", "en"), (3, "kurz und gut", "de"), (None, "ohne nummer", "de"), (None, "ohne nummer", "de"), (5, None, None))]
+    docs = spark.createDataFrame(rows, SCHEMA + ", " + ", ".join(f"`{c}` string" for c in clash))
+    for _, stage in corpus_pipeline.STAGES:
+        docs = scratch(stage(spark, docs, str(tmp_path)), "stage")
+        assert docs.columns[: 5 + len(clash)] == [*(x.split()[0] for x in SCHEMA.split(", ")), *clash]
+    left = {r.doc_id or 0: r for r in docs.collect()}
+    assert set(left) <= {0, 1, 3} and all(r.row == "c" and r["x.y"] == "c" for r in left.values())
+
+
+def test_an_unlabelled_corpus_is_kept(spark, tmp_path):
+    rows, item = tables(spark, str(tmp_path))
+    docs = spark.createDataFrame([(i, text, None, s, n) for i, text, _, s, n in rows if i < 120], SCHEMA)
+    stages = dict(corpus_pipeline.STAGES)
+    assert stages["language_id"](spark, docs, str(tmp_path)).count() == 120
+    null_ids = docs.select(F.lit(None).cast("long").alias("doc_id"), "text", "lang", "source", "n_chars")
+    assert stages["decontamination"](spark, null_ids, str(tmp_path)).count() == 120 - sum(" ".join(item) in r[1] for r in rows[:120])
