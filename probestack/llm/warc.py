@@ -52,6 +52,18 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+#: Schemes of the engine's file systems that pyarrow.fs knows by another name.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def _store(path: str):
+    """The file system of a path that is not mounted, and the path in it."""
+    from pyarrow import fs
+
+    scheme, rest = path.split("://", 1)
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
+
+
 def open_file(path: str, mode: str) -> BinaryIO:
     """Open a path of the shared folder: by the file system where it is mounted, by pyarrow.fs elsewhere."""
     if path.startswith("file:"):
@@ -60,9 +72,7 @@ def open_file(path: str, mode: str) -> BinaryIO:
         if mode == "wb":
             os.makedirs(os.path.dirname(path), exist_ok=True)
         return open(path, mode)
-    from pyarrow import fs
-
-    store, inner = fs.FileSystem.from_uri(path)
+    store, inner = _store(path)
     return store.open_output_stream(inner) if mode == "wb" else store.open_input_stream(inner)
 
 
@@ -71,10 +81,8 @@ def rename(old: str, new: str) -> None:
         strip = lambda p: "/" + p[5:].lstrip("/") if p.startswith("file:") else p
         os.replace(strip(old), strip(new))
         return
-    from pyarrow import fs
-
-    store, inner = fs.FileSystem.from_uri(old)
-    store.move(inner, fs.FileSystem.from_uri(new)[1])
+    store, inner = _store(old)
+    store.move(inner, _store(new)[1])
 
 
 def record_bytes(kind: str, page_id, url: str | None, payload: bytes, digest: str, refers_to=None) -> bytes:
