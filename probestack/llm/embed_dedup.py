@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probestack.llm.shared import Forest, components, read_table, scratch, small_side
+from probestack.llm.shared import Forest, components, discard, read_table, scratch, small_side
 
 THRESHOLD = 0.93
 BLOCK_DIMS = 16
@@ -191,10 +191,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, chunk: int
     tasks = pairs.select(*key, "a", "i", F.explode(F.concat(own, F.coalesce(onward, F.array().cast("array<struct<b:int,j:int>>")))).alias("t")).select(*key, "a", "i", "t.b", "t.j")
     roles = tasks.select(*key, "a", "i", "b", "j", F.explode(F.when((F.col("a") == F.col("b")) & (F.col("i") == F.col("j")), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
     roles = roles.withColumn("slab", F.when(F.col("side") == 0, F.col("a")).otherwise(F.col("b"))).withColumn("part", F.when(F.col("side") == 0, F.col("i")).otherwise(F.col("j")))
-    roles = small_side(scratch(roles, "roles"), BROADCAST_CELLS)
+    dealt_to = scratch(roles, "roles")
+    roles = small_side(dealt_to, BROADCAST_CELLS)
     placed = slabs.join(small_side(cells, BROADCAST_CELLS), [*key, "slab"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     dealt = placed.join(roles, [*key, "slab", "part"]).select(*key, "a", "i", "b", "j", "side", "id", "times", "vec")
     found = scratch(dealt.groupBy(*key, "a", "i", "b", "j").applyInArrow(_compare(geometry), "id long, links long, root long"), "links")
+    discard(slabs, cells, dealt_to)
 
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     classes = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))

@@ -290,11 +290,11 @@ def classed(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, b
     bags = _bags(star.select(F.explode(F.array("a", "b")).alias("id")), texts, docs, width)
     links = _verified(star, bags, threshold)
     discard(bags, star)
-    classes = scratch(components(links), "classes")
+    classes = components(links)
     mine = held.join(classes.hint("merge"), "id", "left").select("bucket", "id", "n_words", F.coalesce("component", "id").alias("component"))
     more = _met(mine, texts, docs, width, threshold, chunk)
     if more is not None:
-        first, classes = classes, scratch(components(links.unionAll(more)), "classes")
+        first, classes = classes, components(links.unionAll(more))
         discard(first, more)
     discard(held, links)
     of_text = texts.join(classes.hint("merge"), "id", "left").select("d1", "d2", "rep", F.coalesce("component", "id").alias("component"))

@@ -80,7 +80,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         last = mark
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
+    out = scratch(now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")), "components")
+    discard(now)
+    return out
 
 
 def _flat(edges: DataFrame) -> bool:
