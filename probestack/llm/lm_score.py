@@ -23,6 +23,7 @@ are compared by 64-bit hashes.
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -57,6 +58,16 @@ END, START = U(0x0E4D0E4D0E4D0E4D), U(0x57A2757A2757A275)
 _LEFT, _RIGHT = U(0x9E6C63D0876A9A47), U(0xC13FA9A902A6328F)
 
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on for later stages, which need it elsewhere."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 class Tokens(NamedTuple):
     token: np.ndarray
     before: np.ndarray
@@ -253,6 +264,7 @@ def _probes(buckets: int):
             for chunk, texts in zip(batch.column("chunk").to_pylist(), batch.column("texts"), strict=True):
                 tokens = tokens_of(_unpack(texts.as_buffer()).column("text"))
                 for kind, keys in ((3, _summed(tokens.token)[0]), (4, _summed(bigrams(tokens))[0])):
+                    give_back()
                     blobs = _blobs(kind, buckets, bucket_of(keys, buckets), print_of(keys))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(blobs.num_rows, chunk)), *blobs.columns], names=["chunk", *blobs.schema.names])
 
@@ -283,6 +295,8 @@ def _fill(frequent, buckets: int):
             for chunk, n in zip(probes.column("chunk").to_pylist(), probes.column("n").to_pylist(), strict=True):
                 rows.append((bucket, chunk, kind, levels[at : at + n].tobytes(), None, None, None))
                 at += n
+        del table, own, keys, counts, prints, n, more, wide, pairs
+        give_back()
         types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in FILLED_SCHEMA.split(", ")])
 
@@ -415,6 +429,7 @@ def _score(model):
             np.add.reduceat(np.log10(count + 1.0) * hot, starts),
             np.add.reduceat(m.log_probabilities(tokens, answers), starts),
         ]
+        give_back()
         return pa.table(
             [pa.array(row_keys(chunk.column("chunk")[0].as_py(), batch.num_rows)), batch.column("doc_id"), batch.column("held_out"), *map(pa.array, columns)],
             names=["key", "doc_id", "held_out", "n_tokens", "hot_known", "hot_sum", "score"],
